@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import minhash, mixing
 
 QUERIES = {
+    "op2_hyperminhash_dedup": minhash.op2,
     "op9_systematic_mix": mixing.op9,
 }
 SQL = {
