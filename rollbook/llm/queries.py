@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing
+from . import minhash, mixing, pieces, warc
 
 QUERIES = {
+    "op1_warc_derivatives": warc.op1,
     "op2_hyperminhash_dedup": minhash.op2,
+    "op4_sentencepiece": pieces.op4,
     "op9_systematic_mix": mixing.op9,
 }
 SQL = {
+    "op1_warc_derivatives": warc.OP1_SQL,
     "op9_systematic_mix": mixing.OP9_SQL,
 }
