@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, pieces, warc
+from . import langid, maxent, minhash, mixing, pieces, quality, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1,
     "op2_hyperminhash_dedup": minhash.op2,
     "op4_sentencepiece": pieces.op4,
+    "op6_bayes_quality": quality.op6,
+    "op7_maxent_score": maxent.op7,
+    "op8_cross_parsing": langid.op8,
     "op9_systematic_mix": mixing.op9,
 }
 SQL = {
