@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_crf, langid, maxent, minhash, mixing, pieces, quality, warc
+from . import html_crf, langid, lattice_hash, maxent, minhash, mixing, pieces, quality, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1,
     "op2_hyperminhash_dedup": minhash.op2,
     "op3_crf_main_text": html_crf.op3,
     "op4_sentencepiece": pieces.op4,
+    "op5_e8_lattice_dedup": lattice_hash.op5,
     "op6_bayes_quality": quality.op6,
     "op7_maxent_score": maxent.op7,
     "op8_cross_parsing": langid.op8,
