@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_crf, langid, lattice_hash, maxent, minhash, mixing, pieces, quality, warc
+from . import html_crf, langid, lattice_hash, maxent, media, minhash, mixing, pieces, quality, warc
 
 QUERIES = {
     "op1_warc_derivatives": warc.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bayes_quality": quality.op6,
     "op7_maxent_score": maxent.op7,
     "op8_cross_parsing": langid.op8,
+    "op10_image_copies": media.op10,
     "op9_systematic_mix": mixing.op9,
 }
 SQL = {
