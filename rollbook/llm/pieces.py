@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ SPACE = "▁"
 BROADCAST_WORDS = 8_000_000
 #: An unknown character scores this much less than the worst piece, as in the library.
 UNKNOWN_PENALTY = 10.0
+#: More than the characters of any word: an edge's end counts in units of it, its start in ones.
+PLACES = 1 << 31
 
 
 @dataclass(frozen=True)
@@ -79,44 +82,55 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     spark = words.sparkSession
     table_ = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
     worst = min(score for _, _, score in pieces.rows) - UNKNOWN_PENALTY
-    begun = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    cut = begun.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("k"))
-    edges = cut.select("word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
-    byte_ids = F.transform(
-        F.sequence(F.lit(1), F.octet_length("piece")),
-        lambda k: F.conv(F.substring(F.hex(F.col("piece").cast("binary")), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_id,
-    )
-    edge = F.struct(
-        (F.col("s") + F.col("k") - 1).alias("to"),
-        (F.col("s") - 1).alias("at"),
-        F.coalesce("score", F.lit(worst)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(byte_ids).alias("ids"),
-    )
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # best[p] is position p: sum of scores, where its last edge begins, and that edge's ids.
+    begun = words.select(F.xxhash64("word").alias("h"), "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    cut = begun.select("h", "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("k"))
+    edges = cut.select("h", "word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
+    # An edge from at to to: their places in one number, so that edges sort by end and then by start; no id for a lone unknown.
+    edge = F.struct(((F.col("s") + F.col("k") - 1).cast("long") * PLACES + (F.col("s") - 1)).alias("place"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(worst)).alias("score"))
+    grouped = edges.groupBy("h", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # best[p] is position p: the sum of scores, where its last edge begins, and that edge's id.
     best = F.expr(
-        """aggregate(edges,
-             array(named_struct('sum', 0D, 'at', -1, 'ids', cast(array() AS array<int>))),
+        f"""aggregate(edges,
+             array(named_struct('sum', 0D, 'at', -1, 'id', -1)),
              (best, e) -> CASE
-               WHEN size(best) = e.to THEN concat(best, array(named_struct('sum', best[e.at].sum + e.score, 'at', e.at, 'ids', e.ids)))
-               WHEN best[e.at].sum + e.score > best[e.to].sum
-                 THEN concat(slice(best, 1, e.to), array(named_struct('sum', best[e.at].sum + e.score, 'at', e.at, 'ids', e.ids)))
+               WHEN size(best) = e.place DIV {PLACES} THEN concat(best, array(named_struct(
+                 'sum', best[cast(e.place % {PLACES} AS int)].sum + e.score, 'at', cast(e.place % {PLACES} AS int), 'id', e.id)))
+               WHEN best[cast(e.place % {PLACES} AS int)].sum + e.score > best[size(best) - 1].sum
+                 THEN concat(slice(best, 1, size(best) - 1), array(named_struct(
+                   'sum', best[cast(e.place % {PLACES} AS int)].sum + e.score, 'at', cast(e.place % {PLACES} AS int), 'id', e.id)))
                ELSE best END)"""
     )
     back = F.expr(
         """aggregate(sequence(size(best) - 1, 1, -1),
              named_struct('p', size(best) - 1, 'ids', cast(array() AS array<int>)),
-             (acc, p) -> IF(p = acc.p, named_struct('p', best[p].at, 'ids', concat(best[p].ids, acc.ids)), acc),
+             (acc, p) -> IF(p = acc.p, named_struct('p', best[p].at, 'ids', concat(array(IF(best[p].id >= 0, best[p].id, -p)), acc.ids)), acc),
              acc -> acc.ids)"""
     )
-    return grouped.select("word", best.alias("best")).select("word", back.alias("ids"))
+    # A lone unknown character, kept as minus its place, becomes its bytes.
+    as_bytes = f"""flatten(transform(ids, i -> IF(i >= 0, array(i), transform(
+        sequence(1, octet_length(substring(word, -i, 1))),
+        k -> cast(conv(substring(hex(cast(substring(word, -i, 1) AS BINARY)), k * 2 - 1, 2), 16, 10) AS int) + {pieces.byte_id}))))"""
+    out = grouped.select("word", best.alias("best")).select("word", back.alias("ids"))
+    return out.select("word", F.when(F.exists("ids", lambda i: i < 0), F.expr(as_bytes)).otherwise(F.col("ids")).alias("ids"))
 
 
 def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(word): the distinct words of all texts."""
-    seen = F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE)))
-    words = F.regexp_extract_all(seen, F.lit(pieces.pattern), F.lit(0))
-    return docs.where(F.length(text) > 0).select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+    """(word): the distinct words of all texts; distinct in the task first, then over all."""
+    pattern = pieces.pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        seen: set[str] = set()
+        for b in batches:
+            for one in b.column(0).to_pylist():
+                if one:
+                    seen.update(find(marked(one)))
+                if len(seen) > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+
+    return docs.select(text).mapInArrow(run, "word string").distinct()
 
 
 def _encoder(pattern: str, column: int, added: str):
@@ -166,25 +180,31 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", ad
     n = known.count()
     if n > broadcast_words:
         return _encode_by_join(docs, known, pieces, text, added)
-    packed = known.mapInArrow(_pack, "h long, n int, ids binary").toArrow()
-    keys = packed["h"].to_numpy().view(np.uint64)
+    # One row per task: the hashes, lengths and ids of its words, as bytes.
+    parts = known.mapInArrow(_pack, "h binary, n binary, ids binary").collect()
+    keys = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in parts] or [np.empty(0, np.uint64)])
+    counts = np.concatenate([np.frombuffer(r["n"], np.int32) for r in parts] or [np.empty(0, np.int32)])
+    flat = np.concatenate([np.frombuffer(r["ids"], np.int32) for r in parts] or [np.empty(0, np.int32)]).astype(np.uint16 if len(pieces.names) < 65536 else np.int32)
+    del parts
+    begins = np.cumsum(counts, dtype=np.int64) - counts
     order = np.argsort(keys)
-    counts = packed["n"].to_numpy()
-    flat = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in packed["ids"]), np.int32) if n else np.empty(0, np.int32)
-    begins = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
-    counts = counts[order].astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    flat = flat[np.repeat(begins[order] - starts[:-1], counts) + np.arange(starts[-1])] if n else flat
-    shared = spark.sparkContext.broadcast((keys[order], starts, flat.astype(np.uint16 if len(pieces.names) < 65536 else np.int32)))
+    keys, counts, begins = keys[order], counts[order], begins[order]
+    starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    flat = flat[np.repeat((begins - starts[:-1]), counts) + np.arange(starts[-1])] if n else flat
+    shared = spark.sparkContext.broadcast((keys, starts, flat))
+    del keys, counts, begins, starts, flat, order
     schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_encoder(pieces.pattern, docs.columns.index(text), added)(shared), schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    h, n, ids = [], [], []
     for b in batches:
-        ids = b.column(1).to_pylist()
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in b.column(0).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([len(x) for x in ids], pa.int32()), pa.array([np.array(x, np.int32).tobytes() for x in ids], pa.binary())], ["h", "n", "ids"])
+        words = b.column(0).to_pylist()
+        h.append(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).tobytes())
+        n.append(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+        ids.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (h, n, ids)], ["h", "n", "ids"])
 
 
 def _encode_by_join(docs: DataFrame, known: DataFrame, pieces: Pieces, text: str, added: str) -> DataFrame:
