@@ -11,19 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .buckets import settle, shared_buckets
 from .common import checkpointed, table
-from .graph import connected_components
 
 #: Registers of a signature, 16 bits each: 6 for the leading zeros of the least hash, 10 for the bits after them.
-REGISTERS = 160
+REGISTERS = 128
 MANTISSA = 10
-#: Registers of a band. At a similarity of 0.8 a band agrees with probability 0.41, and one of 40 bands with 1 - 7e-10.
+#: Registers of a band. At a similarity of 0.8 a band agrees with probability 0.41, and one of 32 bands with 1 - 5e-8.
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: Estimates below this are not verified: 0.8 less six standard deviations of an estimate from 160 registers.
-LEAST_ESTIMATE = 0.61
-#: Side of a block when documents are held against a whole component.
-BLOCK = 512
+#: Estimates below this are not verified: 0.8 less 5.7 standard deviations of an estimate from 128 registers.
+LEAST_ESTIMATE = 0.6
+#: Ids up to which the ids whose texts are read again are broadcast (32 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,71 +118,59 @@ def _sign(width: int, with_set: bool = False):
 _SIGNED = "id long, n_shingles long, hi long, lo long, regs binary"
 
 
+def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers allow the similarity; reps has (rep, n_shingles, regs)."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        rx = np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS)
+        ry = np.frombuffer(b"".join(y), np.uint16).reshape(-1, REGISTERS)
+        return pd.Series(estimate(rx, ry, n.to_numpy(), m.to_numpy()) >= LEAST_ESTIMATE)
+
+    side = lambda name: reps.select(F.col("rep").alias(name), F.col("regs").alias(f"regs_{name}"), F.col("n_shingles").alias(f"n_{name}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.where(near("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (a, b): estimate from the registers, then the full sets of those that pass."""
-    left = sets.select(F.col("rep").alias("a"), F.col("regs").alias("regs_a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("regs").alias("regs_b"), F.col("shingles").alias("set_b"))
+    """Links (a, b) among pairs (a, b), from the full sets."""
 
     @F.pandas_udf("boolean")
-    def linked(ra: pd.Series, rb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        out = np.zeros(len(ra), bool)
-        if not len(out):
-            return pd.Series(out)
-        n, m = sa.str.len().to_numpy() // 8, sb.str.len().to_numpy() // 8
-        x = np.frombuffer(b"".join(ra), np.uint16).reshape(-1, REGISTERS)
-        y = np.frombuffer(b"".join(rb), np.uint16).reshape(-1, REGISTERS)
-        for i in np.flatnonzero(estimate(x, y, n, m) >= LEAST_ESTIMATE):
-            inter = len(np.intersect1d(np.frombuffer(sa.iat[i], np.uint64), np.frombuffer(sb.iat[i], np.uint64), assume_unique=True))
-            out[i] = similar(inter, n[i], m[i], percent)
+    def linked(sa: pd.Series, sb: pd.Series) -> pd.Series:
+        out = np.zeros(len(sa), bool)
+        for i, (x, y) in enumerate(zip(sa, sb, strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            out[i] = similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
         return pd.Series(out)
 
-    # The sets of the pairs' smaller side come first: b is the member, a the pivot that many share.
-    both = pairs.join(right, "b").join(left, "a")
-    return both.where(linked("regs_a", "regs_b", "set_a", "set_b")).select("a", "b")
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("shingles").alias(f"set_{name}"))
+    # The sets of the members b come first; the pivots a are few and shared by many pairs.
+    pivots = side("a").join(pairs.select("a").distinct(), "a", "left_semi")
+    both = pairs.join(side("b"), "b").join(pivots, "a")
+    return both.where(linked("set_a", "set_b")).select("a", "b")
 
 
-def _against_components(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the documents a of asked (a, component) and the members (rep, component) of those components.
+def _prepare(block: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Registers, sets and set sizes of a block of classes."""
+    sets = [np.frombuffer(s, np.uint64) for s in block["shingles"]]
+    return np.frombuffer(b"".join(block["regs"]), np.uint16).reshape(-1, REGISTERS), sets, np.array([len(s) for s in sets])
 
-    Documents and members are dealt into blocks of BLOCK; a task holds one block of each at a time and gives back links
-    only, so pairs are compared but never made into rows.
-    """
-    size = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks"))
-    many = asked.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("a_blocks"))
-    shape = size.join(many, "component")
-
-    def block(col: str, n: str) -> F.Column:
-        return F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = lambda name: [F.col("regs").alias(f"regs_{name}"), F.col("shingles").alias(f"set_{name}")]
-    left = asked.join(shape, "component").join(sets.withColumnRenamed("rep", "a"), "a").withColumn("block_a", block("a", "a_blocks"))
-    left = left.select(F.col("component").alias("of_a"), F.col("block_a").alias("x_a"), spread("m_blocks").alias("y_a"), F.col("a").alias("id_a"), *held("a"))
-    right = members.join(shape, "component").join(sets, "rep").withColumn("block_b", block("rep", "m_blocks"))
-    right = right.select(F.col("component").alias("of_b"), spread("a_blocks").alias("x_b"), F.col("block_b").alias("y_b"), F.col("rep").alias("id_b"), *held("b"))
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        if len(x) and len(y):
-            rx = np.frombuffer(b"".join(x["regs_a"]), np.uint16).reshape(-1, REGISTERS)
-            ry = np.frombuffer(b"".join(y["regs_b"]), np.uint16).reshape(-1, REGISTERS)
-            sets_y = [np.frombuffer(s, np.uint64) for s in y["set_b"]]
-            m = np.array([len(s) for s in sets_y])
-            ids = y["id_b"].to_numpy()
-            for k, (one, s) in enumerate(zip(x["id_a"], x["set_a"], strict=True)):
-                mine = np.frombuffer(s, np.uint64)
-                near = estimate(np.broadcast_to(rx[k], ry.shape), ry, np.full(len(m), len(mine)), m) >= LEAST_ESTIMATE
-                near &= similar(np.minimum(m, len(mine)), m, len(mine), percent)
-                for j in np.flatnonzero(near):
-                    at = np.searchsorted(mine, sets_y[j])
-                    inter = int((mine[np.minimum(at, len(mine) - 1)] == sets_y[j]).sum())
-                    if similar(inter, len(mine), m[j], percent) and one != ids[j]:
-                        a.append(one)
-                        b.append(ids[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    keyed = lambda df, name: df.groupBy(f"of_{name}", f"x_{name}", f"y_{name}")
-    return keyed(left, "a").cogroup(keyed(right, "b")).applyInPandas(compare, "a long, b long")
+
+def _compare(percent: int):
+    """Positions of a block's classes that one class is linked with: by size, by estimate, then by the full sets."""
+
+    def run(row, others: tuple, near: np.ndarray) -> np.ndarray:
+        regs, sets, m = others
+        mine = np.frombuffer(row.shingles, np.uint64)
+        near = near[similar(np.minimum(m[near], len(mine)), m[near], len(mine), percent)]
+        own = np.broadcast_to(np.frombuffer(row.regs, np.uint16), (len(near), REGISTERS))
+        near = near[estimate(own, regs[near], np.full(len(near), len(mine)), m[near]) >= LEAST_ESTIMATE]
+        inter = [int((mine[np.minimum(np.searchsorted(mine, sets[j]), len(mine) - 1)] == sets[j]).sum()) for j in near]
+        return near[similar(np.array(inter, np.int64), len(mine), m[near], percent)]
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,11 +180,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     percent * union <= 100 * intersection, checked on the full sets (as 64-bit hashes). component_id is the least doc_id
     that links reach, kept whether that is the row's own.
 
-    How: rows of equal sets form a class, named by its least doc_id. Classes that agree in a band meet in a bucket. In each
-    bucket the class that meets most others is the pivot; members are compared with it, not with each other. Buckets that
-    then still hold several components are settled exactly: their members outside the bucket's largest component are held
-    against the whole of each other component, in blocks, which compares but emits links only. So a group of near copies
-    costs its size, not its square, and no link that a band can see is left out.
+    How: rows of equal sets form a class. Classes that agree in a band meet in a bucket. In each bucket the class that meets
+    most others is the pivot; members are compared with it, not with each other. Buckets that then still hold several
+    components are settled exactly (buckets.unsettled_links). So a group of near copies costs its size, and no link between classes that a
+    band brings together is left out.
 
     Null, empty and word-free texts: n_shingles 0, linked with nothing. Null doc_id: the row is linked as others are, its
     component comes from the other rows; alone, it is null. Repeated rows each get the same result. Empty table: no rows.
@@ -204,38 +191,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     signed = checkpointed(rows.mapInArrow(_sign(width), _SIGNED))
     reps = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("hi", "lo")
-    reps = reps.agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
+    reps = reps.agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     # A class goes by the first half of its set's hash.
     reps = checkpointed(reps.withColumnRenamed("rep", "id").withColumn("rep", F.col("hi")))
     step = 2 * ROWS
     bands = reps.select("rep", F.posexplode(F.array(*(F.substring("regs", 1 + step * i, step) for i in range(BANDS)))).alias("band", "part"))
     bands = bands.select("rep", F.xxhash64("band", "part").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    hits = checkpointed(bands.join(shared, "bucket"))
-    met = hits.groupBy("rep").agg(F.sum("n").alias("met"))
-    pivots = hits.join(met, "rep").groupBy("bucket").agg(F.max(F.struct("met", "rep")).alias("top"))
-    pivots = pivots.select("bucket", F.col("top.rep").alias("a"))
-    pairs = hits.join(pivots, "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    hits = shared_buckets(bands)
     # Full sets of the classes that share a bucket, made again from the texts.
-    wanted = met.select("rep").join(reps.select("rep", "id", "hi", "lo"), "rep")
-    texts = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-    sets = texts.mapInArrow(_sign(width, with_set=True), _SIGNED + ", shingles binary")
-    sets = sets.join(wanted.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi").dropDuplicates(["hi"])
+    wanted = checkpointed(hits.select("rep").distinct().join(reps.select("rep", "id", "hi", "lo"), "rep"))
+    few = wanted.count() <= BROADCAST_IDS
+    asked_for = F.broadcast(wanted) if few else wanted
+    texts = rows.join(asked_for.select("id").distinct(), "id", "left_semi")
+    sets = texts.mapInArrow(_sign(width, with_set=True), _SIGNED + ", shingles binary").join(asked_for.select("id", "hi", "lo"), ["id", "hi", "lo"], "left_semi")
+    if texts.count() > wanted.select("id").distinct().count():  # repeated ids
+        sets = sets.dropDuplicates(["hi"])
     sets = checkpointed(sets.select(F.col("hi").alias("rep"), "regs", "shingles"))
-    links = _verified(pairs, sets, percent)
     # Several texts under one id are one document.
     several = signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("hi").alias("a"), F.max("hi").alias("z")).where("a <> z")
-    links = checkpointed(links.unionAll(signed.where("n_shingles > 0").join(several, "id").where("hi <> a").select("a", F.col("hi").alias("b")).distinct()))
-    comps = connected_components(links)
-    placed = hits.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    unsettled = per.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    unsettled = unsettled.select("bucket", F.col("top.component").alias("largest"))
-    small = placed.join(unsettled, "bucket").where("component <> largest").select("bucket", "rep", F.col("component").alias("own"))
-    asked = small.join(per.select("bucket", "component"), "bucket").where("component <> own")
-    asked = checkpointed(asked.select(F.col("rep").alias("a"), "component").distinct())
-    everyone = met.select("rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    comps = connected_components(checkpointed(links.unionAll(_against_components(asked, everyone, sets, percent))))
+    several = signed.where("n_shingles > 0").join(several, "id").where("hi <> a").select("a", F.col("hi").alias("b")).distinct()
+    verify = lambda pairs: _verified(checkpointed(_estimated(pairs, reps)), sets, percent)
+    comps = settle(hits, sets, verify, _prepare, _compare(percent), several)
     placed = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "id", F.coalesce("component", "rep").alias("component"))
     roots = placed.groupBy("component").agg(F.min("id").alias("root"))
     classes = placed.join(roots, "component").select("hi", "lo", "root")
