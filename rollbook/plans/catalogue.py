@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import interactive, records, timelines
+
+QUERIES = {**interactive.QUERIES, **timelines.QUERIES, **records.QUERIES}
+SQL = {**interactive.SQL, **timelines.SQL, **records.SQL}
