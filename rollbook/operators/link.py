@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, on: Sequence[str], left_date: str, right_date: str, most: int) -> DataFrame:
@@ -92,7 +93,7 @@ def tiered(df: DataFrame, gazetteer: DataFrame, keys: Sequence[tuple[Column, Col
     return out.select(*df.columns, F.coalesce(*found).alias(place), tier.alias("tier"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by their matching blocks, 0 to 1."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -432,7 +432,8 @@ def serial_repair(spark: SparkSession, d: str) -> DataFrame:
 
 SERIAL_REPAIR = """
 WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) * 100 + month(o_orderdate) ORDER BY o_orderdate::DATE, o_orderkey) AS seq, count(*) OVER (PARTITION BY year(o_orderdate) * 100 + month(o_orderdate)) AS n FROM orders)
-SELECT o_orderkey, CASE WHEN seq BETWEEN 11 AND 13 THEN seq + 1000 ELSE seq END AS serial, seq AS mended_serial, CASE WHEN seq BETWEEN 11 AND 13 THEN 'repaired' END AS serial_state FROM r"""
+SELECT o_orderkey, CASE WHEN seq BETWEEN 11 AND 13 THEN seq + 1000 ELSE seq END AS serial,
+  CASE WHEN seq BETWEEN 11 AND 13 AND n < 14 THEN seq + 1000 ELSE seq END AS mended_serial, CASE WHEN seq BETWEEN 11 AND 13 AND n >= 14 THEN 'repaired' END AS serial_state FROM r"""
 
 
 def order_report(spark: SparkSession, d: str) -> DataFrame:
