@@ -24,9 +24,6 @@ SPACE = "▁"
 BROADCAST_WORDS = 8_000_000
 #: An unknown character scores this much less than the worst piece, as in the library.
 UNKNOWN_PENALTY = 10.0
-#: More than the characters of any word: an edge's end counts in units of it, its start in ones.
-PLACES = 1 << 31
-
 
 @dataclass(frozen=True)
 class Pieces:
@@ -78,39 +75,43 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     piece is an edge that stands for its bytes. The edges of a word come together and are folded from left to right: the
     state holds, for each position reached, the best sum and the edge that gave it; of equal sums the longest last piece stays.
     The piece table is broadcast: its size is that of the model's vocabulary.
+
+    An edge is gathered as one number: where it ends, its length (long ones first) and its piece, so that they sort as they are folded.
     """
     spark = words.sparkSession
-    table_ = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
-    worst = min(score for _, _, score in pieces.rows) - UNKNOWN_PENALTY
-    begun = words.select(F.xxhash64("word").alias("h"), "word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    cut = begun.select("h", "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("k"))
-    edges = cut.select("h", "word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
-    # An edge from at to to: their places in one number, so that edges sort by end and then by start; no id for a lone unknown.
-    edge = F.struct(((F.col("s") + F.col("k") - 1).cast("long") * PLACES + (F.col("s") - 1)).alias("place"), F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(worst)).alias("score"))
-    grouped = edges.groupBy("h", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    table_ = F.broadcast(spark.createDataFrame([(n, i) for n, i, _ in pieces.rows], "piece string, id int"))
+    begun = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
+    cut = begun.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("k"))
+    edges = cut.select("word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
+    code = F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 32) + F.shiftleft((255 - F.col("k")).cast("long"), 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes"))
+    # By id + 1 the score, by 0 that of an unknown character: one constant array.
+    score = [min(x for _, _, x in pieces.rows) - UNKNOWN_PENALTY] * (len(pieces.names) + 1)
+    for _, i, x in pieces.rows:
+        score[i + 1] = x
+    read = F.expr(
+        f"""transform(codes, c -> named_struct(
+              'to', cast(shiftright(c, 32) AS int), 'at', cast(shiftright(c, 32) - 255 + (shiftright(c, 24) & 255) AS int), 'id', cast(c & 16777215 AS int) - 1,
+              'score', cast(split('{",".join(map(repr, score))}', ',') AS array<double>)[cast(c & 16777215 AS int)]))"""
+    )
     # best[p] is position p: the sum of scores, where its last edge begins, and that edge's id.
+    new = "array(named_struct('sum', best[e.at].sum + e.score, 'at', e.at, 'id', e.id))"
     best = F.expr(
-        f"""aggregate(edges,
-             array(named_struct('sum', 0D, 'at', -1, 'id', -1)),
-             (best, e) -> CASE
-               WHEN size(best) = e.place DIV {PLACES} THEN concat(best, array(named_struct(
-                 'sum', best[cast(e.place % {PLACES} AS int)].sum + e.score, 'at', cast(e.place % {PLACES} AS int), 'id', e.id)))
-               WHEN best[cast(e.place % {PLACES} AS int)].sum + e.score > best[size(best) - 1].sum
-                 THEN concat(slice(best, 1, size(best) - 1), array(named_struct(
-                   'sum', best[cast(e.place % {PLACES} AS int)].sum + e.score, 'at', cast(e.place % {PLACES} AS int), 'id', e.id)))
-               ELSE best END)"""
+        f"""aggregate(edges, array(named_struct('sum', 0D, 'at', -1, 'id', -1)), (best, e) -> CASE
+              WHEN size(best) = e.to THEN concat(best, {new})
+              WHEN best[e.at].sum + e.score > best[e.to].sum THEN concat(slice(best, 1, e.to), {new})
+              ELSE best END)"""
     )
     back = F.expr(
-        """aggregate(sequence(size(best) - 1, 1, -1),
-             named_struct('p', size(best) - 1, 'ids', cast(array() AS array<int>)),
-             (acc, p) -> IF(p = acc.p, named_struct('p', best[p].at, 'ids', concat(array(IF(best[p].id >= 0, best[p].id, -p)), acc.ids)), acc),
-             acc -> acc.ids)"""
+        """aggregate(sequence(size(best) - 1, 1, -1), named_struct('p', size(best) - 1, 'ids', cast(array() AS array<int>)),
+             (acc, p) -> IF(p = acc.p, named_struct('p', best[p].at, 'ids', concat(acc.ids, array(IF(best[p].id >= 0, best[p].id, -p)))), acc),
+             acc -> reverse(acc.ids))"""
     )
     # A lone unknown character, kept as minus its place, becomes its bytes.
     as_bytes = f"""flatten(transform(ids, i -> IF(i >= 0, array(i), transform(
         sequence(1, octet_length(substring(word, -i, 1))),
         k -> cast(conv(substring(hex(cast(substring(word, -i, 1) AS BINARY)), k * 2 - 1, 2), 16, 10) AS int) + {pieces.byte_id}))))"""
-    out = grouped.select("word", best.alias("best")).select("word", back.alias("ids"))
+    out = grouped.select("word", read.alias("edges")).select("word", best.alias("best")).select("word", back.alias("ids"))
     return out.select("word", F.when(F.exists("ids", lambda i: i < 0), F.expr(as_bytes)).otherwise(F.col("ids")).alias("ids"))
 
 
@@ -122,10 +123,11 @@ def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
         find = re.compile(pattern).findall
         seen: set[str] = set()
         for b in batches:
-            for one in b.column(0).to_pylist():
-                if one:
-                    seen.update(find(marked(one)))
-                if len(seen) > 250_000:
+            for at in range(0, b.num_rows, 256):
+                for one in b.column(0).slice(at, 256).to_pylist():
+                    if one:
+                        seen.update(find(marked(one)))
+                if len(seen) > 150_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
@@ -133,8 +135,11 @@ def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
     return docs.select(text).mapInArrow(run, "word string").distinct()
 
 
-def _encoder(pattern: str, column: int, added: str):
-    """Batches with the ids of the text in one column added; the encodings come as a broadcast of sorted hashes."""
+def _encoder(pieces: Pieces, column: int, added: str, check: str | None):
+    """Batches with the ids of the text in one column added; the encodings come as a broadcast of sorted hashes.
+
+    check: a column that tells whether the ids decode to the text."""
+    pattern, decoded = pieces.pattern, _decoder(pieces)
 
     def make(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,27 +164,32 @@ def _encoder(pattern: str, column: int, added: str):
                     values = flat[np.repeat(starts[tokens] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
                     stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
                     ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, added])
+                    more, names = [ids], [added]
+                    if check:
+                        more.append(pa.array([t == (x or "") for t, x in zip(decoded(values, stops), batch.column(column).to_pylist(), strict=True)], pa.bool_()))
+                        names.append(check)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
         return run
 
     return make
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", added: str = "piece_ids", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", added: str = "piece_ids", check: str | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs with the piece ids of text added. Distinct words are encoded once, by the lattice; the texts are then mapped.
 
-    The sum of piece scores decides (unigram reading of the scores). Null and empty texts: an empty array. Up to
+    The sum of piece scores decides (unigram reading of the scores). check: a column that tells whether the ids decode to the text. Null and empty texts: an empty array. Up to
     broadcast_words distinct words their encodings are broadcast as sorted arrays; beyond, the words of the texts are joined
     with them, at the cost of one shuffle of the words. Repeated rows each get their ids. A column named like the added one is replaced.
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
-    docs = docs.drop(added)
+    docs = docs.drop(added, *[check] * bool(check))
     known = checkpointed(lattice(distinct_words(docs, pieces, text), pieces))
     n = known.count()
     if n > broadcast_words:
-        return _encode_by_join(docs, known, pieces, text, added)
+        out = _encode_by_join(docs, known, pieces, text, added)
+        return out if check is None else decode(out, pieces, added, "_decoded").withColumn(check, F.col("_decoded") == F.coalesce(text, F.lit(""))).drop("_decoded")
     # One row per task: the hashes, lengths and ids of its words, as bytes.
     parts = known.mapInArrow(_pack, "h binary, n binary, ids binary").collect()
     keys = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in parts] or [np.empty(0, np.uint64)])
@@ -193,8 +203,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", ad
     flat = flat[np.repeat((begins - starts[:-1]), counts) + np.arange(starts[-1])] if n else flat
     shared = spark.sparkContext.broadcast((keys, starts, flat))
     del keys, counts, begins, starts, flat, order
-    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoder(pieces.pattern, docs.columns.index(text), added)(shared), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType())), *[T.StructField(check, T.BooleanType())] * bool(check)])
+    return docs.mapInArrow(_encoder(pieces, docs.columns.index(text), added, check)(shared), schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,37 +237,45 @@ def decode_ids(ids: list[int], names: tuple[str, ...], byte_id: int) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def decode(rows: DataFrame, pieces: Pieces | None = None, ids: str = "piece_ids", added: str = "decoded") -> DataFrame:
-    """rows with the text of their piece ids added; null ids give null, none the empty text."""
-    pieces = pieces or load_pieces()
+def _decoder(pieces: Pieces):
+    """A function from the ids of many texts, end to end, and where each begins, to the texts."""
     raw = [bytes([i - pieces.byte_id]) if pieces.byte_id <= i < pieces.byte_id + 256 else n.encode() for i, n in enumerate(pieces.names)]
     lengths = np.array([len(x) for x in raw], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
     flat = np.frombuffer(b"".join(raw), np.uint8)
     mark = SPACE.encode()
-    at = rows.drop(added).columns.index(ids)
+
+    def run(ids: np.ndarray, stops: np.ndarray) -> list[str]:
+        ids = ids.astype(np.int64)
+        n = lengths[ids]
+        ends = np.cumsum(n)
+        whole = flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        at = np.concatenate([[0], ends])[stops]
+        parts = (whole[a:z].replace(mark, b" ") for a, z in zip(at, at[1:], strict=False))
+        return [(b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in parts]
+
+    return run
+
+
+def decode(rows: DataFrame, pieces: Pieces | None = None, ids: str = "piece_ids", added: str = "decoded") -> DataFrame:
+    """rows with the text of their piece ids added; null ids give null, none the empty text."""
+    decoded = _decoder(pieces or load_pieces())
+    base = rows.drop(added)
+    at = base.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                out = []
-                for one in batch.column(at):
-                    if not one.is_valid:
-                        out.append(None)
-                        continue
-                    x = one.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                    n = lengths[x]
-                    ends = np.cumsum(n)
-                    b = flat[np.repeat(starts[x] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes().replace(mark, b" ")
-                    out.append((b[1:] if b[:1] == b" " else b).decode("utf-8", "replace"))
+                lists = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in batch.column(at)]
+                stops = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int64)
+                texts = decoded(np.concatenate([x for x in lists if x is not None] or [np.empty(0, np.int64)]), stops)
+                out = [None if x is None else t for x, t in zip(lists, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, added])
 
-    base = rows.drop(added)
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(added, T.StringType())]))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs))
-    return done.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
+    return encode(docs, check="round_trip").select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
