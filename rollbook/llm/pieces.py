@@ -184,7 +184,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", ad
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
-    docs = docs.drop(added, *[check] * bool(check))
+    docs = docs.drop(added, *([check] if check else []))
     known = checkpointed(lattice(distinct_words(docs, pieces, text), pieces))
     n = known.count()
     if n > broadcast_words:
@@ -203,7 +203,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", ad
     flat = flat[np.repeat((begins - starts[:-1]), counts) + np.arange(starts[-1])] if n else flat
     shared = spark.sparkContext.broadcast((keys, starts, flat))
     del keys, counts, begins, starts, flat, order
-    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType())), *[T.StructField(check, T.BooleanType())] * bool(check)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
     return docs.mapInArrow(_encoder(pieces, docs.columns.index(text), added, check)(shared), schema)
 
 
