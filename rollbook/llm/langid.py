@@ -159,9 +159,12 @@ class Parser:
                 a = alive[i]
                 to = t[state[:a] + grid[i, :a]]
                 broke = to < 0
-                ended[:a] += broke
-                np.copyto(state[:a], np.where(broke, -1 - to, to))
-            counts[:, j] = np.bincount(owners, weights=ended + 1, minlength=len(texts))
+                begun = np.where(broke, -1 - to, to)
+                # A step that is missing ends the phrase before it, if there is one; a symbol that no phrase begins with is one.
+                ended[:a] += broke & (state[:a] > 0)
+                ended[:a] += begun == 0
+                state[:a] = begun
+            counts[:, j] = np.bincount(owners, weights=ended + (state > 0), minlength=len(texts))
         return letters, counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -135,7 +135,7 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """(value): each derived record as WARC text, ready for write_records."""
+    """(value): each derived record as WARC text, but for its last line end, which write_records adds."""
     line = lambda name, col: F.concat(F.lit(f"{name}: "), F.col(col).cast("string"), F.lit(CRLF))
     return records.select(
         F.concat(
@@ -152,14 +152,14 @@ def serialized(records: DataFrame) -> DataFrame:
             line("Content-Length", "content_length"),
             F.lit(CRLF),
             F.col("block"),
-            F.lit(CRLF + CRLF),
+            F.lit(CRLF),
         ).alias("value")
     )
 
 
 def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Writes derived records as WARC files, one per partition, through Spark's committer."""
-    serialized(records).write.option("lineSep", "").option("compression", compression).text(path)
+    serialized(records).write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
