@@ -15,7 +15,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(HERE), os.environ.g
 def spark(tmp_path_factory):
     from rollbook.session import local_session
 
-    s = local_session("tests", "4", 4)
+    s = local_session("tests", os.environ.get("TEST_CPUS", "4"), 4)
     s.sparkContext.setLogLevel("ERROR")
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
