@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,8 +109,7 @@ def train(samples: list[tuple[str, str]]) -> dict:
         joined = [s for a, t in samples if a == lang for s in [*squeezed(symbols[_codes(t)]).tolist(), 1]]
         states = suffix_automaton(joined)
         edges.append(np.array([(k, c, to) for k, at in enumerate(states) for c, to in at.items() if c != 1], np.int32).reshape(-1, 3))
-    key = xxhash.xxh3_64_hexdigest(b"".join([repr(langs).encode(), letters.tobytes(), *(e.tobytes() for e in edges)]))
-    return {"langs": langs, "letters": letters, "edges": edges, "key": key}
+    return {"langs": langs, "letters": letters, "edges": edges}
 
 
 class Parser:
@@ -180,17 +178,6 @@ class Parser:
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, np.where(letters > 0, low, 0.0)
 
 
-#: The parser of the last model, kept by each Python worker.
-_parsers: dict[str, Parser] = {}
-
-
-def _parser(model: dict) -> Parser:
-    if model["key"] not in _parsers:
-        _parsers.clear()
-        _parsers[model["key"]] = Parser(model)
-    return _parsers[model["key"]]
-
-
 def identify(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
     """docs with lang_pred, score (how far the best language is from the next, 0 to 1) and phrase_rate, each after prefix.
 
@@ -203,7 +190,7 @@ def identify(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(shared.value)
+        parser = Parser(shared.value)  # of this task alone: the tables are large, and workers live on
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 batch = whole.slice(k, 1024)

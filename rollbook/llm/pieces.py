@@ -127,7 +127,7 @@ def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
                 for one in b.column(0).slice(at, 256).to_pylist():
                     if one:
                         seen.update(find(marked(one)))
-                if len(seen) > 150_000:
+                if len(seen) > 60_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
