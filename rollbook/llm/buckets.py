@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .graph import connected_components
 
+#: Shared buckets up to which they are broadcast (16 bytes each) to find their members; beyond, all members are shuffled once more.
+BROADCAST_BUCKETS = 1_000_000
 #: Components and buckets from this size on are settled in blocks of BLOCK members, not in pairs.
 LARGE = 64
 BLOCK = 512
@@ -24,8 +26,8 @@ Compare = Callable[[pd.Series, pd.DataFrame, np.ndarray], np.ndarray]
 
 def shared_buckets(members: DataFrame) -> DataFrame:
     """(bucket, rep, n): the rows of members (bucket, rep) whose bucket has n > 1 of them."""
-    n = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return checkpointed(members.join(n, "bucket"))
+    n = checkpointed(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    return checkpointed(members.join(F.broadcast(n) if n.count() <= BROADCAST_BUCKETS else n, "bucket"))
 
 
 def pivot_pairs(hits: DataFrame) -> DataFrame:
