@@ -24,6 +24,8 @@ SPACE = "▁"
 BROADCAST_WORDS = 8_000_000
 #: An unknown character scores this much less than the worst piece, as in the library.
 UNKNOWN_PENALTY = 10.0
+#: Characters of a substring that tell how long a piece that begins with them can be.
+HEAD = 4
 
 @dataclass(frozen=True)
 class Pieces:
@@ -71,17 +73,26 @@ def marked(text: str) -> str:
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids) for the distinct words of words (word): the segmentation with the best sum of piece scores.
 
-    Every substring of at most the longest piece's length is an edge if the piece table has it; a character that is no
-    piece is an edge that stands for its bytes. The edges of a word come together and are folded from left to right: the
-    state holds, for each position reached, the best sum and the edge that gave it; of equal sums the longest last piece stays.
+    Every substring that can be a piece is an edge if the piece table has it; a character that is no piece is an edge that
+    stands for its bytes. How long a substring can be is read from its first HEAD characters: no longer than the longest piece
+    that begins with them. The edges of a word come together and are folded from left to right: the state holds, for each
+    position passed, the best sum and the edge that gave it, and the same for the position that is open; of equal sums the
+    longest last piece stays.
     The piece table is broadcast: its size is that of the model's vocabulary.
 
     An edge is gathered as one number: where it ends, its length (long ones first) and its piece, so that they sort as they are folded.
     """
     spark = words.sparkSession
     table_ = F.broadcast(spark.createDataFrame([(n, i) for n, i, _ in pieces.rows], "piece string, id int"))
+    reach: dict[str, int] = {}
+    for n, _, _ in pieces.rows:
+        if len(n) >= HEAD:
+            reach[n[:HEAD]] = max(reach.get(n[:HEAD], 0), len(n))
+    heads = F.broadcast(spark.createDataFrame(list(reach.items()), "head string, reach int"))
     begun = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    cut = begun.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s") + 1))).alias("k"))
+    begun = begun.withColumn("head", F.expr(f"substring(word, s, {HEAD})")).join(heads, "head", "left")
+    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.col("n") - F.col("s") + 1)
+    cut = begun.select("word", "s", F.explode(F.sequence(F.lit(1), longest)).alias("k"))
     edges = cut.select("word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
     code = F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 32) + F.shiftleft((255 - F.col("k")).cast("long"), 24) + F.coalesce(F.col("id") + 1, F.lit(0))
     grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes"))
@@ -94,13 +105,17 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
               'to', cast(shiftright(c, 32) AS int), 'at', cast(shiftright(c, 32) - 255 + (shiftright(c, 24) & 255) AS int), 'id', cast(c & 16777215 AS int) - 1,
               'score', cast(split('{",".join(map(repr, score))}', ',') AS array<double>)[cast(c & 16777215 AS int)]))"""
     )
-    # best[p] is position p: the sum of scores, where its last edge begins, and that edge's id.
-    new = "array(named_struct('sum', best[e.at].sum + e.score, 'at', e.at, 'id', e.id))"
+    # best[p] is position p: the sum of scores, where its last edge begins, and that edge's id; last is that of position to.
+    better = "named_struct('sum', acc.best[e.at].sum + e.score, 'at', e.at, 'id', e.id)"
+    opened = "named_struct('sum', IF(e.at = acc.to, acc.last.sum, acc.best[e.at].sum) + e.score, 'at', e.at, 'id', e.id)"
     best = F.expr(
-        f"""aggregate(edges, array(named_struct('sum', 0D, 'at', -1, 'id', -1)), (best, e) -> CASE
-              WHEN size(best) = e.to THEN concat(best, {new})
-              WHEN best[e.at].sum + e.score > best[e.to].sum THEN concat(slice(best, 1, e.to), {new})
-              ELSE best END)"""
+        f"""aggregate(edges,
+              named_struct('best', cast(array() AS array<struct<sum: double, at: int, id: int>>), 'to', 0, 'last', named_struct('sum', 0D, 'at', -1, 'id', -1)),
+              (acc, e) -> CASE
+                WHEN e.to > acc.to THEN named_struct('best', array_append(acc.best, acc.last), 'to', e.to, 'last', {opened})
+                WHEN acc.best[e.at].sum + e.score > acc.last.sum THEN named_struct('best', acc.best, 'to', e.to, 'last', {better})
+                ELSE acc END,
+              acc -> array_append(acc.best, acc.last))"""
     )
     back = F.expr(
         """aggregate(sequence(size(best) - 1, 1, -1), named_struct('p', size(best) - 1, 'ids', cast(array() AS array<int>)),
@@ -150,7 +165,8 @@ def _encoder(pieces: Pieces, column: int, added: str, check: str | None):
                     batch = whole.slice(at, 256)
                     local: dict[str, int] = {}
                     order, lengths = [], []
-                    for text in batch.column(column).to_pylist():
+                    texts = batch.column(column).to_pylist()
+                    for text in texts:
                         words = find(marked(text)) if text else []
                         order.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words)))
                         lengths.append(len(words))
@@ -166,7 +182,7 @@ def _encoder(pieces: Pieces, column: int, added: str, check: str | None):
                     ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values, pa.int32()))
                     more, names = [ids], [added]
                     if check:
-                        more.append(pa.array([t == (x or "") for t, x in zip(decoded(values, stops), batch.column(column).to_pylist(), strict=True)], pa.bool_()))
+                        more.append(pa.array([t == (x or "") for t, x in zip(decoded(values, stops), texts, strict=True)], pa.bool_()))
                         names.append(check)
                     yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
 
