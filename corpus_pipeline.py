@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import langid, minhash, mixing, pieces, quality
-from rollbook.llm.common import checkpointed, table
+from rollbook.llm.common import bounded_batches, checkpointed, table
 
 #: Kept ids up to which they are broadcast (8 bytes each) when the texts are read again; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -18,6 +18,7 @@ BROADCAST_IDS = 2_000_000
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects. Labels come from the table labels."""
+    bounded_batches(spark)
     found = quality.classify(docs, table(spark, sf_dir, "labels"), prefix="_quality_")
     return found.where("_quality_good").select(*docs.columns)
 

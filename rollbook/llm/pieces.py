@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, table
+from .common import bounded_batches, checkpointed, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -138,11 +138,11 @@ def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataF
         find = re.compile(pattern).findall
         seen: set[str] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                for one in b.column(0).slice(at, 256).to_pylist():
+            for at in range(0, b.num_rows, 64):
+                for one in b.column(0).slice(at, 64).to_pylist():
                     if one:
                         seen.update(find(marked(one)))
-                if len(seen) > 60_000:
+                if len(seen) > 40_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", ad
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop(added, *([check] if check else []))
     known = checkpointed(lattice(distinct_words(docs, pieces, text), pieces))
     n = known.count()
