@@ -89,6 +89,15 @@ def test_scores_beat_the_base_on_held_out_texts(spark, sf_dir):
     assert got["s"] > got["b"]
 
 
+def test_rounds_read_every_training_text(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(maxent, "train_round", lambda docs, lexicon, weights, spark: rounds.append([r.doc_id for r in docs.collect()]) or weights)
+    rows = [(k, "one hot text" if k < 60 else f"text {k}") for k in range(120)] + [(None, "no id"), (200, None)]
+    maxent.score(df := spark.createDataFrame(rows, "doc_id long, text string"), df).count()
+    assert collections.Counter(i for r in rounds for i in r) == collections.Counter(i for i, _ in rows)
+    assert max(sum(i is not None and i < 60 for i in r) for r in rounds) < 40
+
+
 def test_slot_probabilities_sum_to_one():
     w = maxent.Weights(np.random.default_rng(0).integers(1, 50, maxent.K).astype(float))
     w.classes += np.random.default_rng(1).normal(size=w.classes.shape).astype(np.float32)
