@@ -16,23 +16,26 @@ from .common import crc_remainder, table
 UNKNOWN = "und"
 #: The automaton of a language is built from at most so many of its labelled texts, those of the least id hashes, ...
 TRAIN_DOCS = 40
-#: ... none longer than this, ...
-TRAIN_DOC_CHARS = 6_000
-#: ... and for at most so many languages, the most frequent ones.
-TRAIN_LANGS = 200
-#: Letters beyond the most frequent ones of the training texts are one letter, which no automaton knows.
+#: ... and of so many characters of them: whole texts as long as they fit, of a language with longer ones only the head of one.
+TRAIN_CHARS = 240_000
+#: The most frequent letters have a column in the dense tables of the automata; steps by other letters are searched for.
 ALPHABET = 62
+#: Cells (4 bytes each) of all dense tables; with more states than that allows for, all steps by letters are searched for.
+DENSE_CELLS = 64_000_000
 #: A text is parsed in windows of so many letters and spaces; a phrase ends with its window.
 WINDOW = 1024
 
 
 def training_texts(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
-    """(lang, text) of a bounded sample of labelled rows: TRAIN_DOCS a language, whole texts of at most TRAIN_DOC_CHARS."""
+    """(lang, text) of a bounded sample of the labelled rows of every language: TRAIN_DOCS texts and TRAIN_CHARS characters, one text at least."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).select("lang")
-    short = rows.where(F.length("text") <= TRAIN_DOC_CHARS).select("lang", "text", F.xxhash64("text").alias("h"))
-    first = W.partitionBy("lang").orderBy("h", "text")
-    picked = short.join(F.broadcast(top), "lang").distinct().withColumn("k", F.row_number().over(first)).where(f"k <= {TRAIN_DOCS}")
+    size = F.length("text")
+    # The head of a longer text begins with its first letter.
+    head = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, TRAIN_CHARS)
+    cut = rows.select("lang", F.when(size > TRAIN_CHARS, head).otherwise(F.col("text")).alias("text"), F.xxhash64("text").alias("h"), (size > TRAIN_CHARS).alias("long"))
+    first = W.partitionBy("lang").orderBy("long", "h", "text")
+    picked = cut.distinct().withColumn("k", F.row_number().over(first)).where(f"k <= {TRAIN_DOCS}")
+    picked = picked.withColumn("chars", F.sum(F.length("text")).over(first.rowsBetween(W.unboundedPreceding, W.currentRow))).where(f"k = 1 OR chars <= {TRAIN_CHARS}")
     return sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect())
 
 
@@ -41,20 +44,20 @@ def _codes(text: str) -> np.ndarray:
 
 
 def alphabet_of(texts: list[str]) -> np.ndarray:
-    """Code point to symbol: 0 for all but letters, 1 for a letter that is not in the alphabet, 2 and up for the others."""
+    """Code points of all letters of the texts, the most frequent first. Their symbols: 2 and up; 1 is any other letter, 0 all else."""
     seen = np.bincount(np.concatenate([_codes(t.lower()) for t in texts] or [np.empty(0, np.uint32)]), minlength=128)
     letters = [c for c in np.flatnonzero(seen) if chr(c).isalpha()]
-    letters = sorted(letters, key=lambda c: (-seen[c], c))[:ALPHABET]
+    letters.sort(key=lambda c: (-seen[c], c))
     return np.array(letters, np.uint32)
 
 
 def symbol_map(letters: np.ndarray) -> np.ndarray:
     """The whole table of code points, letters of either case alike."""
-    every = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
+    every = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.min_scalar_type(len(letters) + 1), 0x110000)
     for k, c in enumerate(letters):
         every[c] = k + 2
         for other in {chr(c).upper(), chr(c).title()}:
-            if len(other) == 1:
+            if len(other) == 1 and other.lower() == chr(c):
                 every[ord(other)] = k + 2
     return every
 
@@ -113,15 +116,23 @@ def train(samples: list[tuple[str, str]]) -> dict:
 
 
 class Parser:
-    """Dense tables made from a model on an executor; the states of all windows of a batch advance together."""
+    """Dense tables, and sorted steps by rarer letters, made from a model on an executor; the states of all windows of a batch advance together."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.symbols = symbol_map(model["letters"])
-        self.width = len(model["letters"]) + 2
-        self.tables = []
-        for e in model["edges"]:
-            n = int(e[:, [0, 2]].max(initial=0)) + 1
+        sizes = [int(e[:, [0, 2]].max(initial=0)) + 1 for e in model["edges"]]
+        self.every = len(model["letters"]) + 2
+        self.width = min(len(model["letters"]), ALPHABET) + 2
+        if sum(sizes) * self.width > DENSE_CELLS:
+            self.width = 2
+        self.tables, self.steps = [], []
+        for n, e in zip(sizes, model["edges"], strict=True):
+            rare = e[:, 1] >= self.width
+            key = e[rare, 0].astype(np.int64) * self.every + e[rare, 1]
+            order = np.argsort(key)
+            self.steps.append((key[order], e[rare, 2][order] * self.width))
+            e = e[~rare]
             t = np.full((n, self.width), -1, np.int32)
             t[e[:, 0], e[:, 1]] = e[:, 2] * self.width
             start = np.where(t[0] >= 0, t[0], 0)
@@ -129,6 +140,20 @@ class Parser:
             t = np.where(t >= 0, t, -1 - start)
             self.tables.append(np.ascontiguousarray(t, np.int32).ravel())
 
+    def _searched(self, j: int, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Steps of language j by symbols that have no column, as the dense table would give them."""
+        keys, to = self.steps[j]
+        if not len(keys):
+            return np.full(len(symbols), -1, np.int32)
+
+        def step(from_: np.ndarray) -> np.ndarray:
+            key = from_ * self.every + symbols
+            k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[k] == key, to[k], -1)
+
+        found = step(state.astype(np.int64) // self.width)
+        return np.where(found >= 0, found, -1 - np.maximum(step(np.zeros(len(symbols), np.int64)), 0))
+
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and the phrases that each language needs for it (text, language)."""
         parts, owner, letters = [], [], np.zeros(len(texts), np.int64)
@@ -145,17 +170,23 @@ class Parser:
             return letters, counts
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((int(lengths.max()), len(parts)), np.uint8)
+        grid = np.zeros((int(lengths.max()), len(parts)), self.symbols.dtype)
         for column, k in enumerate(order):
             grid[: lengths[k], column] = parts[k]
         alive = np.searchsorted(-lengths[order], -np.arange(len(grid)), side="left")
         owners = np.array(owner)[order]
+        wide = (grid >= self.width).any(axis=1)
         for j, t in enumerate(self.tables):
             state = np.zeros(len(parts), np.int32)
             ended = np.zeros(len(parts), np.int64)
             for i in range(len(grid)):
                 a = alive[i]
-                to = t[state[:a] + grid[i, :a]]
+                if wide[i]:
+                    far = grid[i, :a] >= self.width
+                    to = t[state[:a] + np.where(far, 0, grid[i, :a])]
+                    to[far] = self._searched(j, state[:a][far], grid[i, :a][far].astype(np.int64))
+                else:
+                    to = t[state[:a] + grid[i, :a]]
                 broke = to < 0
                 begun = np.where(broke, -1 - to, to)
                 # A step that is missing ends the phrase before it, if there is one; a symbol that no phrase begins with is one.

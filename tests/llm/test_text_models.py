@@ -127,6 +127,28 @@ def test_phrases_against_search():
         assert counts[0].tolist() == [naive_phrases([t], text, langid.WINDOW) for _, t in train]
 
 
+def test_rare_letters_are_followed(monkeypatch):
+    latin = "".join(map(chr, range(0x100, 0x17F))) * 9
+    train = [("aa", latin), ("ja", "日本語の文章はひらがなと漢字を使う"), ("zh", "中文的文章使用汉字来书写内容")]
+    text = "漢字を使う日本語"
+    assert langid.Parser(langid.train(train)).predict([text, "使用汉字"])[0] == ["ja", "zh"]
+    train = [("aa", "abracadabra cadabra"), ("bb", "hocus pocus fidibus"), ("ja", train[1][1])]
+    texts = ["abra pocus", "cadabra", "fidibus hocus", text, text * 3 + "abra"]
+    want = [[naive_phrases([t], x, langid.WINDOW) for _, t in train] for x in texts]
+    for name, value in (("ALPHABET", 62), ("ALPHABET", 3), ("DENSE_CELLS", 0)):
+        monkeypatch.setattr(langid, name, value)
+        assert langid.Parser(langid.train(train)).phrases(texts)[1].tolist() == want
+    assert langid.Parser(langid.train([("en", "this is his"), ("tr", "ı ſ")])).predict(["THIS IS"])[0] == ["en"]
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 9_000)
+    rows = [(f"l{k:03}", f"word {k}") for k in range(210)] + [("long", "lange worte " * 600), ("longer", "12 " * 9_000 + "mots " * 9_000), ("long", "kurz")]
+    got = langid.training_texts(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert {lang for lang, _ in got} == {lang for lang, _ in rows} and len(got) == len(rows)
+    assert dict(got)["longer"].startswith("mots mots") and ("long", rows[210][1]) in got
+
+
 def test_language_on_held_out_texts(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     found = langid.op8(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
