@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html as _html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -17,11 +22,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record_id, target_uri, warc_date, refers_to, content_type, content_length, payload_digest, block_digest,
     warc_headers, block, complete) for each record of the WARC files at path (plain, or gzip by record or whole).
 
-    Spark's text reader splits at the version line, so plain files are read in parallel. A block that holds the version line
-    itself comes out short: complete is false then, as for any block shorter than its Content-Length. Empty files: no rows.
+    Spark's text reader splits at the two line ends after a record and the version (1.0 or 1.1) of the next, so plain files are
+    read in parallel. A block that holds these itself comes out short: complete is false then, as for any block shorter than
+    its Content-Length. Empty files: no rows.
     """
-    raw = spark.read.option("lineSep", VERSION + CRLF).text(path).where(F.length(F.trim("value")) > 0)
-    head = F.substring_index("value", CRLF + CRLF, 1)
+    raw = spark.read.option("lineSep", CRLF + CRLF + "WARC/1.").text(path).where(F.length(F.trim("value")) > 0)
+    # Only the head is a text for sure: the block's bytes are cut out as they are.
+    head = F.regexp_replace(F.substring_index("value", CRLF + CRLF, 1), r"\A(WARC/1\.)?[0-9]\r\n", "")
     raw = raw.select(head.alias("warc_headers"), F.expr("substring(cast(value AS BINARY), octet_length(substring_index(value, '\\r\\n\\r\\n', 1)) + 5)").alias("rest"))
 
     def field(name: str) -> Column:
@@ -70,18 +77,65 @@ def responses(pages: DataFrame, warc_date: str = NO_DATE) -> DataFrame:
     )
 
 
-#: References that plain text keeps as characters; the ampersand comes last, so that nothing is decoded twice. Fixed values.
+#: Headers of a source that derived records have under names of their own, or that hold for the source's block only.
+OWN_HEADERS = r"(?i)^(WARC-(Type|Record-ID|Refers-To|Target-URI|Date|Payload-Digest|Block-Digest|Concurrent-To)|Content-(Type|Length)):"
+
+
+def fetched(records: DataFrame) -> DataFrame:
+    """What derive takes, for the HTTP responses among records (as read_records gives them), with source_headers beside it.
+
+    The HTTP head is split off the block; its Content-Type is the response's, and its charset (UTF-8, or ISO-8859-1 where
+    named) decodes the payload. Transfer and content codings are not undone. A block without the end of a head is all payload.
+    source_headers holds the other WARC headers, each line as WARC-Source-...; keep it in derive to have it written.
+    """
+    is_http = F.lower("target_uri").rlike("^<?https?:") | F.lower("content_type").startswith("application/http")
+    end = "locate('\\r\\n\\r\\n', latin)"
+    found = records.where((F.lower("record_type") == "response") & is_http).withColumn("latin", F.decode("block", "ISO-8859-1"))
+    found = found.withColumn("at", F.when(F.col("latin").startswith("HTTP/"), F.expr(end)).otherwise(F.lit(0)))
+    found = found.withColumn("head", F.expr("substring(latin, 1, greatest(at - 1, 0))")).withColumn("body", F.expr("CASE WHEN at > 0 THEN substring(block, at + 4) ELSE block END"))
+    kind = F.trim(F.regexp_extract("head", r"(?im)^content-type:[ \t]*([^\r\n]*)", 1))
+    latin1 = F.lower(kind).rlike(r"charset\s*=\s*[\"']?(iso-8859-1|latin-?1)\b")
+    lines = F.filter(F.split("warc_headers", "\r?\n"), lambda x: x.contains(":") & ~x.rlike(OWN_HEADERS))
+    return found.select(
+        "record_id",
+        "target_uri",
+        "warc_date",
+        kind.alias("content_type"),
+        "payload_digest",
+        F.when(latin1, F.decode("body", "ISO-8859-1")).otherwise(F.col("body").cast("string")).alias("payload"),
+        F.array_join(F.transform(lines, lambda x: F.concat(F.lit("WARC-Source-"), F.regexp_replace(x, "(?i)^WARC-", ""), F.lit(CRLF))), "").alias("source_headers"),
+    )
+
+
+#: The commonest references, which are decoded without Python; the ampersand comes last, so that nothing is decoded twice.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Pages with any other reference: every named and numeric one is decoded as in HTML.
+OTHER = "&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)(?:#[0-9xX]|[A-Za-z])"
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)")
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\s*(script|style|noscript|template)\s*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"']"
 
 
+def decoded(text: str) -> str:
+    """All references of a text as characters, each decoded once; a space that does not break is a space."""
+    return REFERENCE.sub(lambda m: _html.unescape(m[0]).replace("\xa0", " "), text)
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(decoded, na_action="ignore")
+
+
 def plain_text(html: Column) -> Column:
     """The whole visible text of a page: markup to spaces, references decoded, runs of space to one."""
     text = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"<[^>]*>", " ")
+    common = text
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+        common = F.replace(common, F.lit(name), F.lit(char))
+    # Asked of the page and not of its text, which is made only once then.
+    other = html.rlike(OTHER)
+    text = F.when(other, _decoded(F.when(other, text))).otherwise(common)
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
 
 
@@ -150,6 +204,7 @@ def serialized(records: DataFrame) -> DataFrame:
             line("WARC-Block-Digest", "block_digest"),
             line("Content-Type", "content_type"),
             line("Content-Length", "content_length"),
+            F.coalesce("source_headers", F.lit("")) if "source_headers" in records.columns else F.lit(""),
             F.lit(CRLF),
             F.col("block"),
             F.lit(CRLF),

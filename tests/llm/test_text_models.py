@@ -262,6 +262,35 @@ def test_archives_round_trip(spark, tmp_path):
     assert text["metadata"].refers_to == text["conversion"].refers_to and text["metadata"].record_id != text["conversion"].record_id
 
 
+def test_all_references_are_decoded(spark):
+    text = "it&#8217;s caf&eacute; &hellip; &mdash; &#x27;q&#39; &amp;lt; &amp;amp; a&nbsp;&#160;b AT&T &copy; &nosuch; &lt;b&gt;"
+    df = spark.createDataFrame([(text,), ("&amp;eacute; &quot;",), (None,)], "html string")
+    got = [r.t for r in df.select(warc.plain_text(F.col("html")).alias("t")).collect()]
+    assert got == ["it’s café … — 'q' &lt; &amp; a b AT&T © &nosuch; <b>", '&eacute; "', None]
+    import html
+
+    names = [n for n in html.entities.html5 if n.endswith(";") and n not in ("nbsp;", "NonBreakingSpace;")]
+    assert all(warc.decoded(f"a &{n} b") == f"a {html.entities.html5[n]} b" for n in names)
+
+
+def test_responses_of_archives(spark, tmp_path):
+    def record(version, kind, k, head, block):
+        return f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI: http://a/{k}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = lambda kind, body: b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body
+    more = "WARC-IP-Address: 1.2.3.4\r\nContent-Type: application/http; msgtype=response\r\n"
+    records = [("1.0", "warcinfo", 0, "", b"software: x\r\n"), ("1.1", "response", 1, more, http(b"text/html", "<p>é&eacute; of WARC/1.0\r\nand\r\n\r\nmore".encode())), ("1.0", "request", 2, more, b"GET / HTTP/1.1\r\n\r\n"), ("1.1", "response", 3, more, http(b"text/html; charset=ISO-8859-1", b"<b>\xe9</b>")), ("1.0", "response", 4, more, http(b"text/plain", b""))]
+    (tmp_path / "x.warc").write_bytes(b"".join(record(*r) for r in records))
+    read = warc.read_records(spark, str(tmp_path / "x.warc"))
+    assert read.where("complete").count() == 5 and read.count() == 5
+    made = warc.derive(warc.fetched(read), keep=("source_headers",))
+    got = {r.refers_to: (r.source_content_type, r.block) for r in made.where("record_type = 'conversion'").collect()}
+    assert got == {"<urn:1>": ("text/html", "éé of WARC/1.0 and more"), "<urn:3>": ("text/html; charset=ISO-8859-1", "é"), "<urn:4>": ("text/plain", "")}
+    warc.write_records(made, str(tmp_path / "out"))
+    again = warc.read_records(spark, str(tmp_path / "out")).collect()
+    assert len(again) == 6 and all(r.complete and "\nWARC-Source-IP-Address: 1.2.3.4" in r.warc_headers for r in again)
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(k,) for k in range(50)] + [(None,)], "doc_id long")
     got = df.select("doc_id", maxent.in_training(F.col("doc_id")).alias("a"), langid.in_training().alias("b")).collect()
