@@ -60,7 +60,8 @@ def claim(pairs: DataFrame, case: str, record: str) -> DataFrame:
 def neighbour_vote(points: DataFrame, refs: DataFrame, point_id: str, x: str, ref_x: str, ref_id: str, label: str, k: int = 5, width: float = 1.0, most: float | None = None) -> DataFrame:
     """(point, label, votes): the commonest label among the k nearest references on a line; of equal counts the least label.
 
-    A point meets 2k references at most, the k before and the k after it in the references' order. Places in that order come
+    A point meets 2k references at most, the k at or before and the k after it in the references' order. Of equal values those of
+    the least ids are nearest, so the order before a point has the greater ids first. Places in both orders come
     from blocks of the given width: the references before a block (a running sum over one row per block) and those before
     the row inside its block.
     """
@@ -69,12 +70,15 @@ def neighbour_vote(points: DataFrame, refs: DataFrame, point_id: str, x: str, re
     mine = points.select(F.col(point_id).alias("p"), F.col(x).cast("double").alias("at"), blk(x).alias("blk")).where("at IS NOT NULL")
     per = table.select("blk", F.lit(1).alias("c")).unionAll(mine.select("blk", F.lit(0).alias("c"))).groupBy("blk").agg(F.sum("c").alias("c"))
     base = per.select("blk", F.coalesce(F.sum("c").over(W.orderBy("blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    table = table.join(base, "blk").withColumn("pos", F.col("base") + F.row_number().over(W.partitionBy("blk").orderBy("at", "r"))).drop("base", "blk")
+    table = table.join(base, "blk")
+    place = lambda side, *order: F.struct(F.lit(side).alias("after"), (F.col("base") + F.row_number().over(W.partitionBy("blk").orderBy("at", *order))).alias("pos"))
+    table = table.select("at", "r", "l", F.array(place(False, F.desc("r")), place(True, "r")).alias("places")).select("at", "r", "l", F.inline("places"))
     marks = mine.select("blk", "at", "p", F.lit(0).alias("c")).unionByName(refs.select(blk(ref_x).alias("blk"), F.col(ref_x).cast("double").alias("at"), F.lit(None).cast(dict(points.dtypes)[point_id]).alias("p"), F.lit(1).alias("c")))
     seen = F.sum("c").over(W.partitionBy("blk").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
     placed = marks.withColumn("inside", seen).where("p IS NOT NULL").join(base, "blk").withColumn("seen", F.col("base") + F.col("inside"))
-    asked = placed.select("p", F.col("at").alias("x"), F.explode(F.sequence(F.col("seen") - k + 1, F.col("seen") + k)).alias("pos"))
-    near = asked.join(table, "pos").withColumn("gap", F.abs(F.col("x") - F.col("at")))
+    asked = placed.select("p", F.col("at").alias("x"), "seen", F.explode(F.sequence(F.col("seen") - k + 1, F.col("seen") + k)).alias("pos"))
+    asked = asked.withColumn("after", F.col("pos") > F.col("seen")).drop("seen")
+    near = asked.join(table, ["after", "pos"]).withColumn("gap", F.abs(F.col("x") - F.col("at")))
     near = near if most is None else near.where(F.col("gap") <= most)
     near = best_per(near, ["p"], ["gap", "r"], k).groupBy("p", "l").agg(F.count("*").alias("votes"))
     best = near.groupBy("p").agg(F.min(F.struct((-F.col("votes")).alias("less"), "l", "votes")).alias("b"))

@@ -161,3 +161,10 @@ def test_renames_that_collide(spark):
 def test_canvases(spark):
     df = spark.createDataFrame([("7", '{"canvases": [{"label": "nb_7_012_x", "id": "u1"}, {"label": "cover", "id": "u2"}]}')], "nb string, m string")
     assert [(r["index"], r.page) for r in ledger.canvases(df, "m", "nb").orderBy("index").collect()] == [(0, 12), (1, None)]
+
+
+def test_votes_of_equal_references(spark):
+    refs = spark.createDataFrame([(k, 5.0, "a" if k <= 2 else "b") for k in range(1, 11)] + [(20 + k, 9.0, "c" if k < 2 else "d") for k in range(9)], "r long, v double, l string")
+    points = spark.createDataFrame([(1, 6.0), (2, 5.0), (3, 4.5), (4, 8.9), (5, 9.0), (6, 20.0)], "p long, v double")
+    got = {r.p: (r.l, r.votes) for r in link.neighbour_vote(points, refs, "p", "v", "v", "r", "l", 2, width=3.0).collect()}
+    assert got == {1: ("a", 2), 2: ("a", 2), 3: ("a", 2), 4: ("c", 2), 5: ("c", 2), 6: ("c", 2)}
