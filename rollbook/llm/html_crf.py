@@ -24,9 +24,11 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
-#: Elements whose content is never shown as text.
-UNSEEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title", "noscript", "template", "svg", "iframe", "object", "math", "canvas")}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+#: Elements that hold no markup, and whose content is never shown: up to the end tag or the end of the page.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title")}
+#: Elements that hold markup, and whose content is not shown as text.
+HIDDEN = frozenset("noscript template svg iframe object canvas annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key ends an open element of the values.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
@@ -52,7 +54,8 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
     """(path, text, share of the text in links, label) of each block of a page, in page order.
 
     A block is the text between two tags of block elements; inline elements stay inside. The path holds the open block
-    elements, outermost first, each as (tag, name words). References are decoded, white space is one space.
+    elements, outermost first, each as (tag, name words). The text of a hidden element is dropped at its end tag; one that is
+    not closed before the element around it hides nothing. References are decoded, white space is one space.
     """
     out: list[tuple[tuple, str, float, str | None]] = []
     if not page:
@@ -61,6 +64,8 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
     text: list[str] = []
     linked = [0]
     in_link = 0
+    #: Open hidden elements: tag, open elements around it, and blocks, text and links before it.
+    hidden: list[tuple[str, int, int, list[str], int, int]] = []
     pos, n = 0, len(page)
 
     def flush() -> None:
@@ -89,19 +94,35 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
         if m["end"] or m["end2"]:
             if tag == "a":
                 in_link = 0
+            elif tag in HIDDEN:
+                for k in range(len(hidden) - 1, -1, -1):
+                    if hidden[k][0] == tag:
+                        _, depth, blocks, before, linked[0], in_link = hidden[k]
+                        del out[blocks:], stack[depth:], hidden[k:]
+                        text[:] = [*before, " "]
+                        break
             elif tag not in INLINE:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         in_link = 0
+                        hidden = [h for h in hidden if h[1] <= k]
                         break
             continue
-        if tag in UNSEEN:
-            end = UNSEEN[tag].search(page, pos)
+        foreign = tag in ("svg", "math") or any(h[0] == "svg" for h in hidden)
+        if foreign and (m["attrs"] or m["attrs2"] or "").endswith("/"):
+            text.append(" ")
+            continue
+        if tag in RAW:
+            end = RAW[tag].search(page, pos)
             pos = end.end() if end else n
             text.append(" ")
             continue
+        if tag in HIDDEN:
+            hidden.append((tag, len(stack), len(out), list(text), linked[0], in_link))
+            text.append(" ")
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
@@ -109,9 +130,10 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
                 text.append(" ")
             continue
         flush()
-        if stack and stack[-1][0] == "p":
+        floor = hidden[-1][1] if hidden else 0
+        if len(stack) > floor and stack[-1][0] == "p":
             stack.pop()
-        while stack and stack[-1][0] in CLOSES.get(tag, ()):
+        while len(stack) > floor and stack[-1][0] in CLOSES.get(tag, ()):
             stack.pop()
         if tag not in VOID and tag not in ("html", "body", "head"):
             names, label = _names(m["attrs"] or m["attrs2"] or "")

@@ -224,6 +224,15 @@ def test_pages_made_and_real(spark, sf_dir):
         assert r.text == " ".join(" ".join(b[1] for b in html_crf.leaf_blocks(body)).split()) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [("<svg viewBox='0 0 1 1'/>", "a b"), ("<math/>", "a b"), ("<svg><title>t</title><path d=''/><text>no</text></svg>", "a b"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "a x=1 b"), ("<object><p>no</p></object>", "a b"), ("<canvas>no</canvas>", "a b"), ("<noscript><div>no</div></noscript>", "a b"), ("<template><p>no</template>", "a b")]
+    + [(f"<{t}>", "a b") for t in ("object", "iframe", "canvas")],
+)
+def test_hidden_elements_hide_their_own_text_only(inner, want):
+    assert [b[1] for b in html_crf.leaf_blocks(f"<article><p>a {inner} b</p><p>end</p></article><p>after")] == [want, "end", "after"]
+
+
 def test_viterbi_against_all_labellings():
     import itertools
 
