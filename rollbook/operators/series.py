@@ -133,9 +133,12 @@ def clusters(df: DataFrame, keys: Sequence[str], day: str, window: int = 3, base
     found = wide.where((F.col("n") >= least) & (F.col("total") >= least)).join(cover, "at")
     days = F.greatest(F.col("cov_before") + F.col("cov_after"), F.lit(1))
     mu = F.greatest((F.col("around") - F.col("n")) / days * window, window / days)
-    found = found.withColumn("mu", mu).withColumn("log10_p", log10_poisson_tail(F.col("n"), F.col("mu")))
+    found = found.withColumn("mu", mu)
+    # A tail is a long sum: once for each pair of figures that occurs, and these are few.
+    tails = found.select("n", "mu").distinct().withColumn("log10_p", log10_poisson_tail(F.col("n"), F.col("mu")))
+    found = found.join(tails.where(F.col("log10_p") < F.log10(F.lit(p))), ["n", "mu"])
     date = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
-    return found.where(F.col("log10_p") < F.log10(F.lit(p))).select(*keys, date("at").alias("start"), date("last").alias("end"), "n", "mu", "log10_p")
+    return found.select(*keys, date("at").alias("start"), date("last").alias("end"), "n", "mu", "log10_p")
 
 
 def merge_overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: int = 1) -> DataFrame:

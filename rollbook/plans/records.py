@@ -407,40 +407,96 @@ SELECT o_custkey, min(date_trunc('month', o_orderdate))::DATE AS "first", max(da
 
 
 def _notebooks(spark: SparkSession, d: str) -> DataFrame:
-    """Orders dealt into notebooks of 250, in order of their day."""
-    rows = orders(spark, d).select("o_orderkey", (F.year("day") * 100 + F.month("day")).alias("notebook"), "day")
+    """Orders dealt into notebooks of 250 by their keys, in each in order of their day."""
+    rows = orders(spark, d).select("o_orderkey", F.expr("o_orderkey DIV 250").alias("notebook"), "day")
     return rows.withColumn("seq", F.row_number().over(W.partitionBy("notebook").orderBy("day", "o_orderkey")))
 
 
+_NOTEBOOKS = """n AS (SELECT o_orderkey, o_orderkey // 250 AS notebook, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_orderkey // 250 ORDER BY o_orderdate::DATE, o_orderkey) AS seq FROM orders)"""
+
+
 def year_shift_repair(spark: SparkSession, d: str) -> DataFrame:
-    """A block of each notebook read a year late; the repair gives the years back."""
+    """A block of each notebook read a year late; the repair gives years back by the days around."""
     rows = _notebooks(spark, d).withColumn("read", F.when(F.col("seq").between(20, 29), F.add_months("day", 12)).otherwise(F.col("day")))
     out = repair.repair_years(rows.select("o_orderkey", "notebook", "seq", "read"), "notebook", "seq", "read")
     return out.select("o_orderkey", "read", "year_shift", "repaired")
 
 
+YEAR_SHIFT_REPAIR = f"""
+WITH {_NOTEBOOKS}, r AS (SELECT *, CASE WHEN seq BETWEEN 20 AND 29 THEN (day + INTERVAL 12 MONTH)::DATE ELSE day END AS read FROM n),
+t AS (SELECT *, CASE WHEN year(read) IS DISTINCT FROM lag(year(read)) OVER (PARTITION BY notebook ORDER BY seq) THEN 1 ELSE 0 END AS turn FROM r),
+u AS (SELECT *, sum(turn) OVER (PARTITION BY notebook ORDER BY seq) AS run FROM t),
+g AS (SELECT notebook, run, min(seq) AS s, max(seq) AS e, arg_min(read, seq) AS head, arg_max(read, seq) AS tail FROM u GROUP BY 1, 2),
+b AS (SELECT *, lag(tail) OVER w AS low, lead(head) OVER w AS high FROM g WINDOW w AS (PARTITION BY notebook ORDER BY run)),
+a AS (SELECT * FROM b WHERE head < low - 3 OR tail > high + 3),
+v AS (SELECT a.notebook, a.run, year(u.read) AS y, count(*) AS votes, min(u.seq) AS met FROM a JOIN u ON u.notebook = a.notebook AND (u.seq BETWEEN a.s - 80 AND a.s - 1 OR u.seq BETWEEN a.e + 1 AND a.e + 80) GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY notebook, run ORDER BY votes DESC, met) AS place FROM v),
+m AS (SELECT a.*, votes, (y - year(head))::INT AS moved, (head + to_years((y - year(head))::INT))::DATE AS h2, (tail + to_years((y - year(head))::INT))::DATE AS t2 FROM a JOIN k ON k.notebook = a.notebook AND k.run = a.run AND place = 1),
+f AS (SELECT notebook, run, moved FROM m WHERE moved <> 0 AND abs(moved) <= 3 AND votes >= 10 AND day(h2) = day(head) AND day(t2) = day(tail) AND year(h2) BETWEEN 1900 AND 2099 AND (low IS NULL OR h2 >= low - 3) AND (high IS NULL OR t2 <= high + 3)),
+o AS (SELECT u.*, coalesce(moved, 0) AS moved FROM u LEFT JOIN f ON f.notebook = u.notebook AND f.run = u.run)
+SELECT o_orderkey, read, moved AS year_shift, CASE WHEN day((read + to_years(moved))::DATE) = day(read) THEN (read + to_years(moved))::DATE ELSE read END AS repaired FROM o"""
+
+
 def component_repair(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notebooks(spark, d).withColumn("read", F.when(F.col("seq") % 25 == 7, F.add_months("day", 1)).otherwise(F.col("day")))
-    rows = rows.select("o_orderkey", "notebook", "seq", "read", F.lit(None).cast("date").alias("end"), F.lit(None).cast("int").alias("stay"))
-    return repair.repair_components(rows, "notebook", "seq", "read", "end", "stay").select("o_orderkey", "read", "mended_date", "mended_part")
+    """Months read one too late, days with another first digit; some rows with an end, some of these with a stay."""
+    late = F.when(F.col("seq") % 25 == 7, F.add_months("day", 1)).when((F.col("seq") % 25 == 16) & (F.dayofmonth("day") <= 18), F.date_add("day", 10))
+    end = F.when(F.col("seq") % 3 != 0, F.date_add("day", (F.col("seq") % 40).cast("int")))
+    stay = F.when(F.col("seq") % 3 == 1, (F.col("seq") % 40).cast("int"))
+    rows = _notebooks(spark, d).select("o_orderkey", "notebook", "seq", F.coalesce(late, "day").alias("read"), end.alias("end"), stay.alias("stay"))
+    return repair.repair_components(rows, "notebook", "seq", "read", "end", "stay").select("o_orderkey", "read", "mended_date", "mended_end", "mended_part")
+
+
+def _component_pass(k: int) -> str:
+    """One reading of all rows in SQL, the rows before them as the last reading left them."""
+    moved = lambda of, part, to: (
+        f"CASE WHEN day({of}) <= day(last_day(make_date(year({of}), {to}, 1))) THEN make_date(year({of}), {to}, day({of})) END"
+        if part == "month"
+        else f"CASE WHEN {to} <= day(last_day({of})) THEN make_date(year({of}), month({of}), {to}) END"
+    )
+    options = ", ".join(
+        f"{{'rank': {rank}, 'change': abs({part}({x}) - {part}(read)), 'mended': {moved('read', part, f'{part}({x})')}, 'part': '{part}', 'value': {part}({x})}}" for rank, part in enumerate(("month", "day")) for x in ("bef", "aft")
+    )
+    return f"""
+b{k} AS (SELECT o_orderkey, notebook, seq, read, "end", stay, lag(now) OVER w AS bef, lead(read) OVER w AS aft FROM p{k} WINDOW w AS (PARTITION BY notebook ORDER BY seq)),
+o{k} AS (SELECT *, CASE WHEN bef <= aft AND NOT read BETWEEN bef - 3 AND aft + 3 THEN list_sort(list_filter([{options}],
+    lambda x: x.mended BETWEEN bef - 3 AND aft + 3 AND (x.part = 'month' OR (x.value // 10 = day(read) // 10)::INT + (x.value % 10 = day(read) % 10)::INT = 1)))[1] END AS m FROM b{k}),
+s{k} AS (SELECT *, coalesce(CASE WHEN m.part = 'month' THEN {moved('"end"', 'month', 'm.value')} ELSE {moved('"end"', 'day', 'm.value')} END, "end") AS same FROM o{k}),
+e{k} AS (SELECT *, CASE WHEN "end" IS NULL THEN NULL WHEN stay IS NOT NULL THEN CASE WHEN abs(same - m.mended - stay) < abs("end" - m.mended - stay) THEN same ELSE "end" END
+    WHEN "end" < m.mended AND same >= m.mended THEN same ELSE "end" END AS till FROM s{k}),
+p{k + 1} AS (SELECT o_orderkey, notebook, seq, read, "end", stay, coalesce(m IS NOT NULL AND CASE WHEN "end" IS NULL THEN m.part = 'month' WHEN stay IS NOT NULL THEN till - m.mended = stay ELSE till >= m.mended AND m.part = 'month' END, false) AS good,
+    CASE WHEN good THEN m.mended ELSE read END AS now, CASE WHEN good THEN till ELSE "end" END AS to_end, CASE WHEN good THEN m.part END AS part FROM e{k})"""
+
+
+COMPONENT_REPAIR = f"""
+WITH {_NOTEBOOKS}, p0 AS (SELECT o_orderkey, notebook, seq, CASE WHEN seq % 25 = 7 THEN (day + INTERVAL 1 MONTH)::DATE WHEN seq % 25 = 16 AND day(day) <= 18 THEN day + 10 ELSE day END AS read, read AS now,
+  CASE WHEN seq % 3 <> 0 THEN day + (seq % 40)::INT END AS "end", CASE WHEN seq % 3 = 1 THEN (seq % 40)::INT END AS stay FROM n),
+{",".join(_component_pass(k) for k in range(4))}
+SELECT o_orderkey, read, now AS mended_date, to_end AS mended_end, part AS mended_part FROM p4"""
 
 
 def serial_repair(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notebooks(spark, d).withColumn("serial", F.when(F.col("seq").between(11, 13), F.col("seq") + 1000).otherwise(F.col("seq")).cast("long"))
+    """By notebook: a prefix before three numbers, a doubled digit in five, one stray number, or nothing."""
+    kind, seq = F.col("notebook") % 4, F.col("seq")
+    slip = F.when((kind == 0) & seq.between(11, 13), seq + 1000).when((kind == 1) & seq.between(121, 125), seq + 1100).when((kind == 2) & (seq == 31), F.lit(9000))
+    rows = _notebooks(spark, d).withColumn("serial", F.coalesce(slip, seq).cast("long"))
     return repair.repair_serials(rows.select("o_orderkey", "notebook", "seq", "serial"), "notebook", "seq", "serial").select("o_orderkey", "serial", "mended_serial", "serial_state")
 
 
-SERIAL_REPAIR = """
-WITH r AS (SELECT o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) * 100 + month(o_orderdate) ORDER BY o_orderdate::DATE, o_orderkey) AS seq, count(*) OVER (PARTITION BY year(o_orderdate) * 100 + month(o_orderdate)) AS n FROM orders)
-SELECT o_orderkey, CASE WHEN seq BETWEEN 11 AND 13 THEN seq + 1000 ELSE seq END AS serial,
-  CASE WHEN seq BETWEEN 11 AND 13 AND n < 14 THEN seq + 1000 ELSE seq END AS mended_serial, CASE WHEN seq BETWEEN 11 AND 13 AND n >= 14 THEN 'repaired' END AS serial_state FROM r"""
+SERIAL_REPAIR = f"""
+WITH {_NOTEBOOKS}, r AS (SELECT *, notebook % 4 AS kind, count(*) OVER (PARTITION BY notebook) AS size FROM n),
+s AS (SELECT *, CASE WHEN kind = 0 AND seq BETWEEN 11 AND 13 THEN seq + 1000 WHEN kind = 1 AND seq BETWEEN 121 AND 125 THEN seq + 1100 WHEN kind = 2 AND seq = 31 THEN 9000 ELSE seq END AS serial,
+  serial <> seq AND size > CASE kind WHEN 0 THEN 13 WHEN 1 THEN 125 ELSE 31 END AS back FROM r)
+SELECT o_orderkey, serial, CASE WHEN back AND kind < 2 THEN seq ELSE serial END AS mended_serial, CASE WHEN back THEN CASE WHEN kind < 2 THEN 'repaired' ELSE 'out-of-sequence' END END AS serial_state FROM s"""
 
 
 def order_report(spark: SparkSession, d: str) -> DataFrame:
-    return repair.order_report(_notebooks(spark, d), "notebook", "seq", "day")
+    """How many orders of each notebook keep the order of days, read by their keys."""
+    return repair.order_report(_notebooks(spark, d), "notebook", "o_orderkey", "day")
 
 
-ORDER_REPORT = "SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INT AS notebook, count(*) AS n, count(*) AS in_order FROM orders GROUP BY 1"
+ORDER_REPORT = """
+WITH d AS (SELECT o_orderkey // 250 AS notebook, list([o_orderdate::DATE] ORDER BY o_orderkey) AS days FROM orders GROUP BY 1)
+SELECT notebook, len(days) AS n, len(list_reduce(days, lambda tops, x: list_concat(list_concat(list_filter(tops, lambda t: t <= x[1]), x), tops[len(list_filter(tops, lambda t: t <= x[1])) + 2 :]))) AS in_order FROM d"""
 
 QUERIES = {
     f.__name__: f
