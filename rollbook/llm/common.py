@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,13 @@ def word_count(col: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is named."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. It must be named: a temporary one is of one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -47,17 +51,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the plans that run inside; the caller's value comes back after them. Results don't depend on it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker: rows of texts are long, and each task holds several batches.
 BATCH_BYTES = "4m"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by bytes, unless a bound is set. Results don't depend on it."""
+def bound_batches(spark: SparkSession) -> None:
+    """For queries: bounds the session's Arrow batches by bytes, unless a bound is set. Results don't depend on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
+    if spark.conf.get(key, None) in (None, "2147483647"):
         spark.conf.set(key, BATCH_BYTES)
 
 
+def free_prefix(df: DataFrame, stem: str) -> str:
+    """A prefix that no column of df has."""
+    prefix = f"_{stem}_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def crc_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds that the contracts name. A null id is the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

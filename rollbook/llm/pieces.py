@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute
+import pyarrow.ipc
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, table
+from .common import bound_batches, checkpointed, setting, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct words up to which their encodings are broadcast (about 20 bytes each); beyond, words and documents are joined.
-BROADCAST_WORDS = 8_000_000
+#: The encodings of so many most frequent words are broadcast (about 20 bytes each, 20 MB); those of the others are joined.
+FREQUENT = 1_000_000
 #: An unknown character scores this much less than the worst piece, as in the library.
 UNKNOWN_PENALTY = 10.0
 #: Characters of a substring that tell how long a piece that begins with them can be.
 HEAD = 4
+#: Words longer than this go by a hash and are cut into overlapping slices of SLICE characters for the lattice.
+LONG = 64
+SLICE = 256
+#: Characters of the texts that a task takes into Python objects at a time.
+CHARS = 1_000_000
+#: Distinct chunks of text that a task counts, and whose encodings it holds, at a time (some 150 bytes each).
+COUNTED, HELD = 600_000, 300_000
+#: Keys up to which a hash aggregation keeps its groups in memory: words are short, a partition holds some 100,000.
+KEYS_IN_MEMORY = "1000000"
 
 @dataclass(frozen=True)
 class Pieces:
@@ -41,8 +55,8 @@ class Pieces:
 def load_pieces(path: str = MODEL) -> Pieces:
     """Reads the piece table of a SentencePiece model with byte fallback.
 
-    Words are cut where no piece of the table can cross: before a space mark, and between signs and other
-    characters.
+    Words are cut where no piece of the table can cross: before a space mark, between signs and other characters, and
+    around characters that are in no piece but their own (digits, mostly).
     """
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     names = tuple(p.id_to_piece(i) for i in range(p.get_piece_size()))
@@ -60,8 +74,10 @@ def load_pieces(path: str = MODEL) -> Pieces:
     while crossing := {(a, b) for a, b in near if a in signs and b not in signs}:
         signs -= {a for a, b in crossing if b.isalnum() and b.isascii()}
         signs |= {b for a, b in crossing if a in signs and not (b.isalnum() and b.isascii())}
-    of = "".join(re.escape(c) for c in sorted(signs))
-    pattern = f"{SPACE}*[^{of}{SPACE}]+|{SPACE}*[{of}]+|{SPACE}+"
+    joined = {c for n, _, _ in rows if len(n) > 1 for c in n}
+    alone = {n for n, _, _ in rows if len(n) == 1} - joined - signs - {SPACE}
+    of, one = ("".join(re.escape(c) for c in sorted(x)) for x in (signs, alone))
+    pattern = f"{SPACE}*[^{of}{one}{SPACE}]+|{SPACE}*[{of}]+|{SPACE}+" + (f"|[{one}]" if one else "")
     return Pieces(rows, byte_id, max(len(n) for n, _, _ in rows), pattern, names)
 
 
@@ -70,181 +86,359 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for the distinct words of words (word): the segmentation with the best sum of piece scores.
+def key_of(word: str) -> str:
+    """What a word goes by: itself, or its hash if it is long."""
+    return word if len(word) <= LONG else "\0" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of rows with CHARS bytes of text or so, one row at least."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > begin and total + n > CHARS:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def chunks_of(text: str | None, find) -> list[str]:
+    """The chunks of a text: between spaces; each stands for the words of itself with a mark before it.
+
+    Where that would not give the text's words (several spaces in a row or at an end, marks in the text), each word is a
+    chunk of its own, told by one more mark.
+    """
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [SPACE + w for w in find(marked(text))]
+    return text.split(" ")
+
+
+def words_of(chunk: str, find) -> list[str]:
+    return [chunk[1:]] if chunk[:1] == SPACE else find(SPACE + chunk)
+
+
+def word_slices(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """(key, base, part, own, c): the distinct words of all texts and how often they occur, long ones in slices.
+
+    A word of LONG characters at most is one row, base 0, part null. Of a longer one each row holds the own characters from
+    base on, and those after them that a piece may reach. Counted in the task first; then partitioned by key.
+    """
+    pattern, reach = pieces.pattern, pieces.longest - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        seen: Counter = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            words: dict[str, int] = {}
+            for chunk, c in seen.items():
+                for w in words_of(chunk, find):
+                    words[w] = words.get(w, 0) + c
+            seen.clear()
+            long = [w for w in words if len(w) > LONG]
+            rows = [(key_of(w), k, w[k : k + SLICE + reach], min(SLICE, len(w) - k), words[w]) for w in long for k in range(0, len(w), SLICE)]
+            for w in long:
+                del words[w]
+            n, names, kinds = len(words), ["key", "base", "part", "own", "c"], (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(list(words.values()), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+        for b in batches:
+            for begin, end in _slices(b.column(0)):
+                for one in b.column(0).slice(begin, end - begin).to_pylist():
+                    seen.update(chunks_of(one, find))
+                if len(seen) > COUNTED:
+                    yield from out()
+        yield from out()
+
+    parts = docs.select(text).mapInArrow(run, "key string, base int, part string, own int, c long").repartition("key")
+    parts = parts.groupBy("key", "base", "part", "own").agg(F.sum("c").alias("c"))
+    return parts.select("key", F.coalesce("base", F.lit(0)).alias("base"), "part", F.coalesce("own", F.length("key")).alias("own"), "c")
+
+
+def lattice(slices: DataFrame, pieces: Pieces) -> DataFrame:
+    """(key, c, ids) for the words of slices (see word_slices): the segmentation with the best sum of piece scores.
 
     Every substring that can be a piece is an edge if the piece table has it; a character that is no piece is an edge that
     stands for its bytes. How long a substring can be is read from its first HEAD characters: no longer than the longest piece
-    that begins with them. The edges of a word come together and are folded from left to right: the state holds, for each
-    position passed, the best sum and the edge that gave it, and the same for the position that is open; of equal sums the
-    longest last piece stays.
-    The piece table is broadcast: its size is that of the model's vocabulary.
+    that begins with them. The edges of a word come together and are folded from left to right; of equal sums the longest
+    last piece stays. The piece table is broadcast: its size is that of the model's vocabulary.
 
-    An edge is gathered as one number: where it ends, its length (long ones first) and its piece, so that they sort as they are folded.
+    An edge is gathered as one number: where it ends, its length (long ones first) and its piece, or its character above
+    2^23, so that edges sort as they are folded. The state of the fold holds the open position with its best sum and edge, the
+    sums of the last positions only, and the best edges of the positions of the block.
     """
-    spark = words.sparkSession
+    spark = slices.sparkSession
     table_ = F.broadcast(spark.createDataFrame([(n, i) for n, i, _ in pieces.rows], "piece string, id int"))
     reach: dict[str, int] = {}
     for n, _, _ in pieces.rows:
         if len(n) >= HEAD:
             reach[n[:HEAD]] = max(reach.get(n[:HEAD], 0), len(n))
     heads = F.broadcast(spark.createDataFrame(list(reach.items()), "head string, reach int"))
-    begun = words.select("word", F.length("word").alias("n"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
-    begun = begun.withColumn("head", F.expr(f"substring(word, s, {HEAD})")).join(heads, "head", "left")
-    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.col("n") - F.col("s") + 1)
-    cut = begun.select("word", "s", F.explode(F.sequence(F.lit(1), longest)).alias("k"))
-    edges = cut.select("word", "s", "k", F.expr("substring(word, s, k)").alias("piece")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
-    code = F.shiftleft((F.col("s") + F.col("k") - 1).cast("long"), 32) + F.shiftleft((255 - F.col("k")).cast("long"), 24) + F.coalesce(F.col("id") + 1, F.lit(0))
-    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("codes"))
-    # By id + 1 the score, by 0 that of an unknown character: one constant array.
-    score = [min(x for _, _, x in pieces.rows) - UNKNOWN_PENALTY] * (len(pieces.names) + 1)
+    begun = slices.select("key", "c", "base", F.coalesce("part", "key").alias("part"), F.explode(F.sequence(F.lit(1), F.col("own"))).alias("s"))
+    begun = begun.withColumn("head", F.expr(f"substring(part, s, {HEAD})")).join(heads, "head", "left")
+    longest = F.least(F.coalesce("reach", F.lit(HEAD - 1)), F.length("part") - F.col("s") + 1)
+    cut = begun.select("key", "c", (F.col("base") + F.col("s") - 1).alias("at"), F.expr(f"substring(part, s, {pieces.longest})").alias("rest"), F.explode(F.sequence(F.lit(1), longest)).alias("k"))
+    edges = cut.withColumn("piece", F.expr("substring(rest, 1, k)")).join(table_, "piece", "left").where("id IS NOT NULL OR k = 1")
+    code = F.shiftleft((F.col("at") + F.col("k")).cast("long"), 32) + F.shiftleft((255 - F.col("k")).cast("long"), 24) + F.coalesce(F.col("id"), F.lit(1 << 23) + F.ascii("piece"))
+    grouped = edges.groupBy("key", "c").agg(F.sort_array(F.collect_list(code)).alias("codes"))
+    lowest = min(x for _, _, x in pieces.rows) - UNKNOWN_PENALTY
+    score = [lowest] * len(pieces.names)
     for _, i, x in pieces.rows:
-        score[i + 1] = x
+        score[i] = x
+    # Edges in blocks, as a fold copies its state at each step: what grows with the word is copied once a block only.
+    block = 512
+    blocks = F.expr(
+        f"""IF(size(codes) <= {block}, array(codes), transform(sequence(0, (size(codes) - 1) DIV {block}),
+              j -> transform(sequence(j * {block}, least(j * {block} + {block - 1}, size(codes) - 1)), i -> codes[i])))"""
+    )
     read = F.expr(
-        f"""transform(codes, c -> named_struct(
-              'to', cast(shiftright(c, 32) AS int), 'at', cast(shiftright(c, 32) - 255 + (shiftright(c, 24) & 255) AS int), 'id', cast(c & 16777215 AS int) - 1,
-              'score', cast(split('{",".join(map(repr, score))}', ',') AS array<double>)[cast(c & 16777215 AS int)]))"""
+        f"""transform(codes, of -> transform(of, c -> named_struct(
+              'to', cast(shiftright(c, 32) AS int), 'at', cast(shiftright(c, 32) - 255 + (shiftright(c, 24) & 255) AS int), 'code', c,
+              'score', IF((c & {1 << 23}) = 0, cast(split('{",".join(map(repr, score))}', ',') AS array<double>)[cast(c & {(1 << 23) - 1} AS int)], {lowest}D))))"""
     )
-    # best[p] is position p: the sum of scores, where its last edge begins, and that edge's id; last is that of position to.
-    better = "named_struct('sum', acc.best[e.at].sum + e.score, 'at', e.at, 'id', e.id)"
-    opened = "named_struct('sum', IF(e.at = acc.to, acc.last.sum, acc.best[e.at].sum) + e.score, 'at', e.at, 'id', e.id)"
+    keep = pieces.longest
+    window = 4 * keep
     best = F.expr(
-        f"""aggregate(edges,
-              named_struct('best', cast(array() AS array<struct<sum: double, at: int, id: int>>), 'to', 0, 'last', named_struct('sum', 0D, 'at', -1, 'id', -1)),
-              (acc, e) -> CASE
-                WHEN e.to > acc.to THEN named_struct('best', array_append(acc.best, acc.last), 'to', e.to, 'last', {opened})
-                WHEN acc.best[e.at].sum + e.score > acc.last.sum THEN named_struct('best', acc.best, 'to', e.to, 'last', {better})
-                ELSE acc END,
-              acc -> array_append(acc.best, acc.last))"""
+        f"""aggregate(edges, named_struct('to', 0, 'sum', 0D, 'via', 0L, 'base', 0, 'sums', cast(array() AS array<double>), 'done', cast(array() AS array<array<bigint>>)),
+              (all, of) -> aggregate(of, named_struct('to', all.to, 'sum', all.sum, 'via', all.via, 'base', all.base, 'sums', all.sums, 'open', cast(array() AS array<bigint>)),
+                (acc, e) -> CASE
+                  WHEN e.to > acc.to THEN named_struct('to', e.to, 'sum', IF(e.at = acc.to, acc.sum, acc.sums[e.at - acc.base]) + e.score, 'via', e.code,
+                    'base', IF(size(acc.sums) < {window}, acc.base, acc.to - {keep - 1}),
+                    'sums', array_append(IF(size(acc.sums) < {window}, acc.sums, slice(acc.sums, {1 - keep}, {keep - 1})), acc.sum),
+                    'open', array_append(acc.open, acc.via))
+                  WHEN acc.sums[e.at - acc.base] + e.score > acc.sum THEN
+                    named_struct('to', acc.to, 'sum', acc.sums[e.at - acc.base] + e.score, 'via', e.code, 'base', acc.base, 'sums', acc.sums, 'open', acc.open)
+                  ELSE acc END,
+                acc -> named_struct('to', acc.to, 'sum', acc.sum, 'via', acc.via, 'base', acc.base, 'sums', acc.sums, 'done', array_append(all.done, acc.open))),
+              all -> flatten(array_append(all.done, array(all.via))))"""
     )
+    # Back from the end, in blocks of positions: position p is entry p of best.
     back = F.expr(
-        """aggregate(sequence(size(best) - 1, 1, -1), named_struct('p', size(best) - 1, 'ids', cast(array() AS array<int>)),
-             (acc, p) -> IF(p = acc.p, named_struct('p', best[p].at, 'ids', concat(acc.ids, array(IF(best[p].id >= 0, best[p].id, -p)))), acc),
-             acc -> reverse(acc.ids))"""
+        f"""aggregate(sequence(size(best) - 1, 1, -{block}), named_struct('p', size(best) - 1, 'done', cast(array() AS array<array<int>>)),
+              (all, top) -> aggregate(sequence(top, greatest(top - {block - 1}, 1), -1), named_struct('p', all.p, 'ids', cast(array() AS array<int>)),
+                (acc, p) -> IF(p = acc.p, named_struct('p', p - 255 + cast(shiftright(best[p], 24) & 255 AS int), 'ids', array_append(acc.ids, cast(best[p] & 16777215 AS int))), acc),
+                acc -> named_struct('p', acc.p, 'done', array_append(all.done, acc.ids))),
+              all -> reverse(flatten(all.done)))"""
     )
-    # A lone unknown character, kept as minus its place, becomes its bytes.
-    as_bytes = f"""flatten(transform(ids, i -> IF(i >= 0, array(i), transform(
-        sequence(1, octet_length(substring(word, -i, 1))),
-        k -> cast(conv(substring(hex(cast(substring(word, -i, 1) AS BINARY)), k * 2 - 1, 2), 16, 10) AS int) + {pieces.byte_id}))))"""
-    out = grouped.select("word", read.alias("edges")).select("word", best.alias("best")).select("word", back.alias("ids"))
-    return out.select("word", F.when(F.exists("ids", lambda i: i < 0), F.expr(as_bytes)).otherwise(F.col("ids")).alias("ids"))
+    # A character above 2^23 becomes its bytes in UTF-8.
+    of = lambda shift, head: f"{pieces.byte_id + head} + (shiftright(i - {1 << 23}, {shift}) & {63 if head == 128 else 31 if head == 192 else 15 if head == 224 else 7})"
+    as_bytes = f"""flatten(transform(ids, i -> CASE WHEN i < {1 << 23} THEN array(i)
+        WHEN i < {(1 << 23) + 0x80} THEN array({pieces.byte_id} + i - {1 << 23})
+        WHEN i < {(1 << 23) + 0x800} THEN array({of(6, 192)}, {of(0, 128)})
+        WHEN i < {(1 << 23) + 0x10000} THEN array({of(12, 224)}, {of(6, 128)}, {of(0, 128)})
+        ELSE array({of(18, 240)}, {of(12, 128)}, {of(6, 128)}, {of(0, 128)}) END))"""
+    out = grouped.select("key", "c", blocks.alias("codes")).select("key", "c", read.alias("edges")).select("key", "c", best.alias("best")).select("key", "c", back.alias("ids"))
+    return out.select("key", "c", F.when(F.exists("ids", lambda i: i >= 1 << 23), F.expr(as_bytes)).otherwise(F.col("ids")).alias("ids"))
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+
+
+def _digest(text: str | None) -> bytes:
+    return xxhash.xxh3_128_digest(text or "")
+
+
+def _frequent(known: DataFrame, most: int) -> tuple[int, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A count, and the words that occur so often or oftener, most of them at most: sorted hashes with the words' ranks, and the
+    ids by rank with where each begins."""
+    least = 1
+    if known.count() > most:
+        # Words by how often they occur: no more rows than there are such figures, at most 100,000.
+        seen = known.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
+        room = np.cumsum([r["count"] for r in seen]) <= most
+        least = int(seen[int(room.sum()) - 1]["c"]) if room.any() else 100_001
+    packed = known.where(F.col("c") >= least).mapInArrow(_pack, "h binary, c binary, n binary, ids binary").collect()
+    h, c, n, flat = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), t) for k, t in (("h", np.uint64), ("c", np.int64), ("n", np.int32), ("ids", np.int32)))
+    begins = np.cumsum(n, dtype=np.int64) - n
+    by_rank = np.lexsort((h, -c))
+    n, begins, h = n[by_rank], begins[by_rank], h[by_rank]
+    starts = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    ids = flat[np.repeat(begins - starts[:-1], n) + np.arange(starts[-1])] if len(flat) else flat
+    order = np.argsort(h)
+    return least, (h[order], order.astype(np.int32)), (starts, ids)
 
 
-def distinct_words(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(word): the distinct words of all texts; distinct in the task first, then over all."""
-    pattern = pieces.pattern
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes, counts, lengths and ids of a batch's words, as bytes."""
+    for b in batches:
+        n = pa.compute.list_value_length(b.column("ids")).to_numpy(zero_copy_only=False).astype(np.int32)
+        ids = b.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        parts = (_hashes(b.column("key").to_pylist()), b.column("c").to_numpy(), n, ids)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "c", "n", "ids"])
+
+
+class _Chunks:
+    """What a task knows of the chunks it has met: their words, as ranks of frequent words, or below 0 as numbers of others."""
+
+    def __init__(self, pieces: Pieces, shared: tuple[np.ndarray, np.ndarray]):
+        self.keys, self.ranks = shared
+        self.find = re.compile(pieces.pattern).findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.begins, self.counts, self.flat = (np.empty(0, np.int64) for _ in range(3))
+        self.others: list[str] = []
+
+    def look(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The chunks of each text, by number."""
+        if len(self.index) > HELD:
+            self.clear()
+        old, number = len(self.index), self.index.setdefault
+        order = []
+        for text in texts:
+            chunks = chunks_of(text, self.find)
+            order.append(np.fromiter([number(c, len(self.index)) for c in chunks], np.int64, len(chunks)))
+        words, per = [], []
+        for chunk in islice(self.index, old, None):
+            found = words_of(chunk, self.find)
+            words += found
+            per.append(len(found))
+        if per:
+            names = [key_of(w) for w in words]
+            h = _hashes(names)
+            value = np.full(len(h), -1, np.int64)
+            if len(self.keys):
+                k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                value = np.where(self.keys[k] == h, self.ranks[k], value)
+            other = np.flatnonzero(value < 0)
+            value[other] = -1 - len(self.others) - np.arange(len(other))
+            self.others += [names[i] for i in other.tolist()]
+            n = np.array(per, np.int64)
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(n) - n])
+            self.counts = np.concatenate([self.counts, n])
+            self.flat = np.concatenate([self.flat, value])
+        return order
+
+
+def _gather(flat: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n entries of flat from each of begins on, end to end."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(begins - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _begin(pieces: Pieces, at: int, held: list[int], shared):
+    """Batches (_row, columns of docs) to blocks of rows (_block, _data, _words, _rare): the held columns, numbers of words and
+    digests of the texts as one Arrow stream; the words, as ranks of the frequent ones and, after these, places in the list
+    of the block's distinct other words; and that list. The words' four bytes go one after the other, which packs well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
-        seen: set[str] = set()
+        chunks, most = _Chunks(pieces, shared.value), len(shared.value[0])
+        pack = zstandard.ZstdCompressor(1).compress
+        for whole in batches:
+            for begin, end in _slices(whole.column(at)):
+                batch = whole.slice(begin, end - begin)
+                texts = batch.column(at).to_pylist()
+                order = chunks.look(texts)
+                every = np.concatenate(order)
+                n = chunks.counts[every]
+                words = _gather(chunks.flat, chunks.begins[every], n)
+                stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(o) for o in order])])]
+                other = words < 0
+                which, place = np.unique(-1 - words[other], return_inverse=True)
+                rare: dict[str, int] = {}
+                spot = np.fromiter((rare.setdefault(chunks.others[k], len(rare)) for k in which.tolist()), np.int64, len(which))
+                words[other] = most + spot[place]
+                data = pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(np.diff(stops)), pa.array([_digest(t) for t in texts], pa.binary())], [f"c{i}" for i in range(len(held) + 2)])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, data.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_batch(data)
+                planes = pack(np.ascontiguousarray(words.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([planes], pa.binary()), pa.array([list(rare)], pa.list_(pa.string()))],
+                    ["_block", "_data", "_words", "_rare"],
+                )
+
+    return run
+
+
+def _rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_block, _at, key): a row for each word that a block leaves open."""
+    for b in batches:
+        for block, words in zip(b.column("_block").to_pylist(), b.column("_rare"), strict=True):
+            n = len(words.values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n), pa.int32()), words.values], ["_block", "_at", "key"])
+
+
+def _end(pieces: Pieces, names: list[str], check: bool, shared):
+    """Blocks with the found words (_found: _at, ids) to the held columns, ids and whether they decode to the text."""
+    decoded = _decoder(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, flat = shared.value
+        most = len(starts) - 1
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                for one in b.column(0).slice(at, 64).to_pylist():
-                    if one:
-                        seen.update(find(marked(one)))
-                if len(seen) > 40_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
-
-    return docs.select(text).mapInArrow(run, "word string").distinct()
-
-
-def _encoder(pieces: Pieces, column: int, added: str, check: str | None):
-    """Batches with the ids of the text in one column added; the encodings come as a broadcast of sorted hashes.
-
-    check: a column that tells whether the ids decode to the text."""
-    pattern, decoded = pieces.pattern, _decoder(pieces)
-
-    def make(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, starts, flat = shared.value
-            find = re.compile(pattern).findall
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    local: dict[str, int] = {}
-                    order, lengths = [], []
-                    texts = batch.column(column).to_pylist()
-                    for text in texts:
-                        words = find(marked(text)) if text else []
-                        order.append(np.fromiter((local.setdefault(w, len(local)) for w in words), np.int64, len(words)))
-                        lengths.append(len(words))
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in local), np.uint64, len(local))
-                    k = np.searchsorted(keys, h)
-                    if len(h) and (k.max(initial=0) >= len(keys) or (keys[np.minimum(k, len(keys) - 1)] != h).any()):
+            for data, planes, rare, found in zip(b.column("_data"), b.column("_words"), b.column("_rare"), b.column("_found"), strict=True):
+                with pa.ipc.open_stream(data.as_buffer()) as source:
+                    rows = source.read_next_batch()
+                words = np.ascontiguousarray(np.frombuffer(unpack(planes.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+                other = words >= most
+                low = np.where(other, 0, words) if most else words
+                n = np.where(other, 0, starts[low + 1] - starts[low]) if most else np.zeros(len(words), np.int64)
+                if other.any():
+                    open_ = len(rare.values)
+                    if not found.is_valid or len(found.values) != open_:
                         raise RuntimeError("a word has no encoding")
-                    tokens = k[np.concatenate(order)] if len(h) else np.empty(0, np.int64)
-                    counts = starts[tokens + 1] - starts[tokens]
-                    ends = np.cumsum(counts)
-                    values = flat[np.repeat(starts[tokens] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                    stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
-                    ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values, pa.int32()))
-                    more, names = [ids], [added]
-                    if check:
-                        more.append(pa.array([t == (x or "") for t, x in zip(decoded(values, stops), texts, strict=True)], pa.bool_()))
-                        names.append(check)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
-
-        return run
+                    place, lists = found.values.field("_at").to_numpy(), found.values.field("ids")
+                    offsets = lists.offsets.to_numpy()
+                    begins, counts = np.empty(open_, np.int64), np.empty(open_, np.int64)
+                    begins[place], counts[place] = offsets[:-1], np.diff(offsets)
+                    n[other] = counts[words[other] - most]
+                    ids = np.empty(int(n.sum()), np.int32)
+                    inside = np.repeat(other, n)
+                    ids[inside] = _gather(lists.values.to_numpy(), begins[words[other] - most], n[other])
+                    ids[~inside] = _gather(flat, starts[low[~other]] if most else low[~other], n[~other])
+                else:
+                    ids = _gather(flat, starts[low], n)
+                per = rows.column(rows.num_columns - 2).to_numpy()
+                stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per)])]
+                more = [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(ids, pa.int32()))]
+                if check:
+                    more.append(pa.array([_digest(t) == d for t, d in zip(decoded(ids, stops), rows.column(rows.num_columns - 1).to_pylist(), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-2], *more], names)
 
-    return make
+    return run
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", added: str = "piece_ids", check: str | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", added: str = "piece_ids", check: str | None = None, keep: list[str] | None = None, frequent: int = FREQUENT) -> DataFrame:
     """docs with the piece ids of text added. Distinct words are encoded once, by the lattice; the texts are then mapped.
 
-    The sum of piece scores decides (unigram reading of the scores). check: a column that tells whether the ids decode to the text. Null and empty texts: an empty array. Up to
-    broadcast_words distinct words their encodings are broadcast as sorted arrays; beyond, the words of the texts are joined
-    with them, at the cost of one shuffle of the words. Repeated rows each get their ids. A column named like the added one is replaced.
+    The sum of piece scores decides (unigram reading of the scores). check: a column that tells whether the ids decode to
+    the text. keep: the columns of docs that the result has; all if none are named.
+
+    The encodings of the frequent words are broadcast, a fixed number of them. The other words of the texts are joined with
+    theirs, as (block, place, word), for blocks of rows that travel as one, and go back to their blocks. Rows are numbered where
+    they are read, so docs must be a table or a checkpoint, which a repeated task reads in the same order; a block whose words are not all found is an error.
+
+    Null and empty texts: an empty array. Repeated rows each get their ids. Words of any length: the fold's cost follows the
+    length, and a word's edges come together in one task. Columns of the added names are replaced, other names don't matter.
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.drop(added, *([check] if check else []))
-    known = checkpointed(lattice(distinct_words(docs, pieces, text), pieces))
-    n = known.count()
-    if n > broadcast_words:
-        out = _encode_by_join(docs, known, pieces, text, added)
-        return out if check is None else decode(out, pieces, added, "_decoded").withColumn(check, F.col("_decoded") == F.coalesce(text, F.lit(""))).drop("_decoded")
-    # One row per task: the hashes, lengths and ids of its words, as bytes.
-    parts = known.mapInArrow(_pack, "h binary, n binary, ids binary").collect()
-    keys = np.concatenate([np.frombuffer(r["h"], np.uint64) for r in parts] or [np.empty(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["n"], np.int32) for r in parts] or [np.empty(0, np.int32)])
-    flat = np.concatenate([np.frombuffer(r["ids"], np.int32) for r in parts] or [np.empty(0, np.int32)]).astype(np.uint16 if len(pieces.names) < 65536 else np.int32)
-    del parts
-    begins = np.cumsum(counts, dtype=np.int64) - counts
-    order = np.argsort(keys)
-    keys, counts, begins = keys[order], counts[order], begins[order]
-    starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    flat = flat[np.repeat((begins - starts[:-1]), counts) + np.arange(starts[-1])] if n else flat
-    shared = spark.sparkContext.broadcast((keys, starts, flat))
-    del keys, counts, begins, starts, flat, order
-    schema = T.StructType([*docs.schema.fields, T.StructField(added, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])])
-    return docs.mapInArrow(_encoder(pieces, docs.columns.index(text), added, check)(shared), schema)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h, n, ids = [], [], []
-    for b in batches:
-        words = b.column(0).to_pylist()
-        h.append(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).tobytes())
-        n.append(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
-        ids.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (h, n, ids)], ["h", "n", "ids"])
-
-
-def _encode_by_join(docs: DataFrame, known: DataFrame, pieces: Pieces, text: str, added: str) -> DataFrame:
-    seen = F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE)))
-    words = F.when(F.length(text) > 0, F.regexp_extract_all(seen, F.lit(pieces.pattern), F.lit(0)))
-    # Equal texts have equal ids, so a text's hash stands for its row.
-    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
-    texts = keyed.select("_h1", "_h2", text).dropDuplicates(["_h1", "_h2"])
-    exploded = texts.select("_h1", "_h2", F.posexplode(words).alias("_at", "word"))
-    ids = exploded.join(known, "word").groupBy("_h1", "_h2").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
-    ids = ids.select("_h1", "_h2", F.flatten(F.col("_parts.ids")).alias(added))
-    out = keyed.join(ids, ["_h1", "_h2"], "left")
-    return out.select(*docs.columns, F.coalesce(added, F.array().cast("array<int>")).alias(added))
+    names = [c for c in (keep or docs.columns) if c not in (added, check)]
+    columns = [*names, *([text] if text not in names else [])]
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", KEYS_IN_MEMORY):
+        known = checkpointed(lattice(word_slices(docs, pieces, text), pieces))
+    least, by_hash, by_rank = _frequent(known, frequent)
+    share = spark.sparkContext.broadcast
+    # The columns go by their places: docs may have columns of any names.
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    begin = _begin(pieces, 1 + columns.index(text), list(range(1, 1 + len(names))), share(by_hash))
+    begun = base.mapInArrow(begin, "_block long, _data binary, _words binary, _rare array<string>").repartition("_block")
+    rare = begun.mapInArrow(_rare_rows, "_block long, _at int, key string").join(known.where(F.col("c") < least).select("key", "ids"), "key")
+    found = rare.groupBy("_block").agg(F.collect_list(F.struct("_at", "ids")).alias("_found"))
+    made = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("check", T.BooleanType())] if check else [])]
+    schema = T.StructType([*base.schema.fields[1 : 1 + len(names)], *made])
+    out = begun.join(found.hint("shuffle_hash"), "_block", "left").mapInArrow(_end(pieces, schema.names, bool(check), share(by_rank)), schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("ids").alias(added), *([F.col("check").alias(check)] if check else []))
 
 
 def decode_ids(ids: list[int], names: tuple[str, ...], byte_id: int) -> str:
@@ -294,5 +488,6 @@ def decode(rows: DataFrame, pieces: Pieces | None = None, ids: str = "piece_ids"
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, check="round_trip").select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
+    bound_batches(spark)
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip", keep=["doc_id"])
+    return found.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")

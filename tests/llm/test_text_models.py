@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -183,32 +184,55 @@ def best_sum(word, score, unknown):
 
 
 def test_lattice_finds_the_best_sum(spark, table):
-    texts = ["Hello  world", "the theaores of nestion", "x" * 300, "né 中 𐍈\n\tend ", "a<b/c²."]
+    rng = np.random.default_rng(4)
+    long = ["".join(rng.choice(list("etaoinsht"), n)) for n in (60, 61, 62, 63, 64, 65, 254, 255, 256, 257, 300, 511, 512, 513, 1_500)]
+    texts = ["Hello  world", "the theaores of nestion", "x" * 300, "né 中 𐍈\n\tend ", "a<b/c².", "4711 a1b2", "߷ก߷" * 200, *long]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     score = {n: s for n, _, s in table.rows}
     unknown = min(score.values()) - pieces.UNKNOWN_PENALTY
-    got = pieces.lattice(pieces.distinct_words(df, table), table).collect()
-    assert got
+    words = {pieces.key_of(w): w for t in texts for w in re.findall(table.pattern, pieces.marked(t))}
+    got = pieces.lattice(pieces.word_slices(df, table), table).collect()
+    assert sorted(r.key for r in got) == sorted(words)
     for r in got:
-        total, text = 0.0, ""
+        word, total = words[r.key], 0.0
         for i in r.ids:
             if table.byte_id <= i < table.byte_id + 256:
                 continue
             total += score[table.names[i]]
-        unknowns = sum(c not in score for c in r.word)
-        assert abs(total + unknown * unknowns - best_sum(r.word, score, unknown)) < 1e-3
-        assert pieces.decode_ids(r.ids, table.names, table.byte_id) == (r.word[1:] if r.word[0] == pieces.SPACE else r.word).replace(pieces.SPACE, " "), text
+        unknowns = sum(c not in score for c in word)
+        assert abs(total + unknown * unknowns - best_sum(word, score, unknown)) < 1e-3
+        assert pieces.decode_ids(r.ids, table.names, table.byte_id) == (word[1:] if word[0] == pieces.SPACE else word).replace(pieces.SPACE, " ")
+        assert r.c == sum(re.findall(table.pattern, pieces.marked(t)).count(word) for t in texts)
+
+
+def test_no_piece_crosses_a_cut(table):
+    find = re.compile(table.pattern).findall
+    assert all(find(n) == [n] for n, _, _ in table.rows)
+
+
+def test_a_very_long_word(spark, table):
+    text = "".join(np.random.default_rng(5).choice(list("etaoinshrdlu"), 200_000))
+    row = pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), table, check="same").first()
+    score = {n: s for n, _, s in table.rows}
+    assert row.same and abs(sum(score[table.names[i]] for i in row.piece_ids) - best_sum(pieces.marked(text), score, -1e9)) < 1
 
 
 def test_pieces_round_trip_both_ways(spark, table, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(40)
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " "), (-4, "  a ▁ b"), (None, "𐍈é\n"), (-5, "x y " * 20_000), (-5, "x y " * 20_000)], "doc_id long, text string")
-    df = docs.union(odd).withColumn("decoded", F.lit(1))
-    one = pieces.decode(pieces.encode(df, table)).collect()
-    assert all((r.decoded == (r.text or "")) or pieces.SPACE in r.text for r in one) and len(one) == 47
-    two = pieces.encode(df, table, broadcast_words=0).collect()
+    df = docs.union(odd).withColumn("decoded", F.lit(1)).withColumn("_row", F.lit("r")).withColumn("key", F.col("doc_id")).withColumn("a.b", F.lit(2))
     key = lambda r: (str(r.doc_id), tuple(r.piece_ids))
-    assert sorted(map(key, one)) == sorted(map(key, two))
+    ways = []
+    for frequent in (pieces.FREQUENT, 100, 0):
+        got = pieces.encode(df, table, check="same", frequent=frequent)
+        assert got.columns == [*df.columns, "piece_ids", "same"]
+        rows = got.collect()
+        assert len(rows) == 47 and all(r.same or pieces.SPACE in r.text for r in rows) and {r["a.b"] for r in rows} == {2}
+        ways.append(sorted(map(key, rows)))
+    assert ways[0] == ways[1] == ways[2]
+    one = pieces.decode(pieces.encode(df.drop("a.b"), table)).collect()
+    assert all((r.decoded == (r.text or "")) or pieces.SPACE in r.text for r in one) and len(one) == 47
+    assert pieces.encode(df, table, keep=["doc_id"]).columns == ["doc_id", "piece_ids"]
     assert pieces.encode(df.limit(0), table).count() == 0
 
 
