@@ -52,29 +52,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     return per.select("no_source", "src", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
-    """All rows of docs (doc_id, text, source, others) with _size, _source_size, _target and _copies added.
+def mix(docs: DataFrame, seed: int = SEED, slices: int = SLICES, prefix: str = "_") -> DataFrame:
+    """All rows of docs (doc_id, text, source, others) with size, source_size, target and copies added, each after prefix.
 
     Every document of a source expects target / source_size copies. The expected copies are summed along the source, from
     small to large documents, one offset by source is added, and a document is emitted once for each whole number that the
     running sum passes in it. Small to large keeps the words taken near the target; the order inside a size band is that
-    of an id hash and the id.
+    of an id hash, the id and a hash of the text; rows alike in all of these may change places.
 
     Scale: a running sum over a whole source would be one task for a hot source. So the position of a document is that of
     its slice (size band and id hash; counts combined before the shuffle, at most slices times some hundred rows a source)
     plus its row number in the slice.
 
-    Null or empty text: size 0, never changes the words taken. Null source: a source of its own, last. Null id: hashed
-    like the empty text. Repeated rows are separate documents. All sizes 0: targets 0, no copies. Empty table: no rows.
+    Null or empty text: size 0, never changes the words taken. Null source: a source of its own, last. Null id: the
+    text is hashed in its place. Repeated rows are separate documents. All sizes 0: targets 0, no copies. Empty table: no rows.
+    Columns of the added names are replaced; other names don't matter.
     """
-    size = word_count(F.col("text"))
+    added = [prefix + c for c in ("size", "source_size", "target", "copies")]
+    names = [c for c in docs.columns if c not in added]
+    # The columns go by their places, so that none is taken for one of the plan's own.
+    at = {c: f"c{i}" for i, c in enumerate(names)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in at.items()))
+    text, source, doc_id = (F.col(at[c]) for c in ("text", "source", "doc_id"))
+    size = word_count(text)
     shift = F.greatest(F.length(F.bin("_size")) - 6, F.lit(0))
     rows = docs.withColumn("_size", size).withColumns(
         {
-            "_no_source": F.col("source").isNull(),
-            "_src": F.coalesce("source", F.lit("")),
+            "_no_source": source.isNull(),
+            "_src": F.coalesce(source, F.lit("")),
             "_band": shift * 64 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 6, 0))"),
-            "_slice": _hash16(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % slices,
+            "_same": F.xxhash64(text),
+            "_slice": _hash16(F.coalesce(doc_id.cast("string"), text, F.lit(""))) % slices,
         }
     )
     key = ["_no_source", "_src", "_band", "_slice"]
@@ -93,11 +101,12 @@ def mix(docs: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
             "_offset": _hash16(F.concat(F.lit(f"{seed}|"), F.col("_no_source").cast("string"), F.lit("|"), F.col("_src"))) / 65536.0,
         }
     )
-    inside = W.partitionBy(*key).orderBy("doc_id", "_size")
+    inside = W.partitionBy(*key).orderBy(doc_id, "_size", "_same")
     rows = rows.withColumn("_row", F.row_number().over(inside)).join(starts, key)
     position = F.col("_first") + F.col("_row")
     crossed = F.floor(F.col("_rate") * position + F.col("_offset")) - F.floor(F.col("_rate") * (position - 1) + F.col("_offset"))
-    return rows.withColumn("_copies", F.least(crossed, F.lit(MOST_COPIES)).cast("long"))
+    figures = (F.col("_size"), F.col("_source_size"), F.col("_target"), F.least(crossed, F.lit(MOST_COPIES)).cast("long"))
+    return rows.select(*(F.col(n).alias(c) for c, n in at.items()), *(x.alias(c) for x, c in zip(figures, added, strict=True)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +126,7 @@ OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % 256 AS slice
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 4))::BIGINT % 256 AS slice
   FROM documents),
 b AS (
   SELECT *, greatest(length(bin(size)) - 6, 0) * 64 + (size >> greatest(length(bin(size)) - 6, 0)) AS band FROM d),

@@ -103,9 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     return fit(x, np.array(got["y"].to_pylist(), float))
 
 
-def _scored(docs: DataFrame, model: dict, added: str) -> DataFrame:
+def _scored(docs: DataFrame, model: dict, added: str, text: str = "text") -> DataFrame:
     """docs with the text's log-likelihood ratio added."""
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +168,22 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     The logit of quality is the text's log-likelihood ratio plus the logit of the path's rate. Null or word-free texts have
     the features of none. Null hosts and paths are sites of their own. Repeated rows get equal results and count as often
-    as they occur. No labels: texts score 0 and every rate is 0.5, so all is good. Columns of the added names are replaced.
+    as they occur. No labels: texts score 0 and every rate is 0.5, so all is good. Columns of the added names are replaced; other
+    names don't matter. A site's rate includes the labels of its own documents, that of the document asked about among them.
     """
     added = [prefix + c for c in ("text_score", "host_rate", "path_rate", "quality", "good")]
     docs = docs.drop(*added)
     model = train(docs, labels)
     rates, _ = site_rates(docs, labels, model, host, path)
-    scored = _scored(docs, model, added[0]).select("*", *_keys(F.col(host), F.col(path)))
-    rates = rates.select("_host", "_path", F.col("host_rate").alias(added[1]), F.col("path_rate").alias(added[2]))
-    out = scored.join(F.broadcast(rates) if rates.count() <= BROADCAST_SITES else rates, ["_host", "_path"], "left").drop("_host", "_path")
-    q = F.col(added[2])
-    out = out.withColumn(added[3], 1 / (1 + F.exp(-(F.col(added[0]) + F.ln(q / (1 - q))))))
-    return out.withColumn(added[4], F.col(added[3]) >= threshold)
+    # The columns go by their places, so that none is taken for one of the plan's own.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    placed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in at.items()))
+    scored = _scored(placed, model, "_llr", at["text"]).select("*", *_keys(F.col(at[host]), F.col(at[path])))
+    out = scored.join(F.broadcast(rates) if rates.count() <= BROADCAST_SITES else rates, ["_host", "_path"], "left")
+    q = F.col("path_rate")
+    out = out.withColumn("_quality", 1 / (1 + F.exp(-(F.col("_llr") + F.ln(q / (1 - q))))))
+    figures = (F.col("_llr"), F.col("host_rate"), q, F.col("_quality"), F.col("_quality") >= threshold)
+    return out.select(*(F.col(n).alias(c) for c, n in at.items()), *(x.alias(c) for x, c in zip(figures, added, strict=True)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
