@@ -112,7 +112,8 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 #: Pages with any other reference: every named and numeric one is decoded as in HTML.
 OTHER = "&(?!(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");)(?:#[0-9xX]|[A-Za-z])"
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)")
-UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\s*(script|style|noscript|template)\s*>"
+#: Markup, from left to right: comments, elements whose text is not seen, any other tag.
+MARKUP = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\s*(script|style|noscript|template)\s*>|<[^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"'>]*)[\"']"
 
@@ -127,16 +128,25 @@ def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(decoded, na_action="ignore")
 
 
-def plain_text(html: Column) -> Column:
-    """The whole visible text of a page: markup to spaces, references decoded, runs of space to one."""
-    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), r"<[^>]*>", " ")
+def _without_markup(html: Column) -> Column:
+    return F.regexp_replace(html, MARKUP, " ")
+
+
+def _readable(text: Column) -> Column:
+    """References decoded, runs of space to one."""
     common = text
     for name, char in ENTITIES:
         common = F.replace(common, F.lit(name), F.lit(char))
-    # Asked of the page and not of its text, which is made only once then.
-    other = html.rlike(OTHER)
-    text = F.when(other, _decoded(F.when(other, text))).otherwise(common)
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))
+    other = text.rlike(OTHER)
+    seen = F.when(other, _decoded(F.when(other, text))).otherwise(common)
+    # A lone space stays as it is: only what changes is matched.
+    return F.trim(F.regexp_replace(seen, r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " "))
+
+
+def plain_text(html: Column) -> Column:
+    """The whole visible text of a page: markup to spaces, references decoded, runs of space to one."""
+    return _readable(_without_markup(html))
+
 
 
 def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -168,23 +178,25 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                     F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), u, F.lit(" L a/@href"), F.lit(CRLF))), ""),
                 ).alias("block"),
             ),
-            F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), plain_text(payload).alias("block")),
+            F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), _without_markup(payload).alias("block")),
         ).alias("made"),
     )
-    out = base.select("*", F.explode("made").alias("r")).drop("made")
+    out = base.select("*", F.inline("made")).drop("made")
+    # The text is there once: references are looked for in it, not in the page.
+    out = out.withColumn("block", F.when(F.col("record_type") == "conversion", _readable(F.col("block"))).otherwise(F.col("block")))
     return out.select(
         *keep,
-        F.col("r.record_type").alias("record_type"),
-        _urn(F.col("r.record_type"), F.col("refers_to")).alias("record_id"),
+        "record_type",
+        _urn(F.col("record_type"), F.col("refers_to")).alias("record_id"),
         "refers_to",
         "target_uri",
         "warc_date",
         "source_content_type",
         "source_payload_digest",
-        F.col("r.content_type").alias("content_type"),
-        F.octet_length("r.block").cast("long").alias("content_length"),
-        _digest(F.col("r.block")).alias("block_digest"),
-        F.col("r.block").alias("block"),
+        "content_type",
+        F.octet_length("block").cast("long").alias("content_length"),
+        _digest(F.col("block")).alias("block_digest"),
+        "block",
     )
 
 
@@ -237,7 +249,7 @@ m AS (
   UNION ALL
   SELECT page_id, target_uri, payload, refers_to, 'conversion', 'text/plain',
     trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
-      regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\s*(script|style|noscript|template)\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+      regexp_replace(payload, '(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\s*(script|style|noscript|template)\s*>|<[^>]*>', ' ', 'g'),
       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g'))
   FROM b),
 i AS (SELECT *, md5(record_type || '|' || refers_to) AS g FROM m)
