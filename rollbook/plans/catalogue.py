@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import interactive, records, timelines
+from . import curation, interactive, records, timelines
 
-QUERIES = {**interactive.QUERIES, **timelines.QUERIES, **records.QUERIES}
-SQL = {**interactive.SQL, **timelines.SQL, **records.SQL}
+QUERIES = {**interactive.QUERIES, **timelines.QUERIES, **records.QUERIES, **curation.QUERIES}
+SQL = {**interactive.SQL, **timelines.SQL, **records.SQL, **curation.SQL}
