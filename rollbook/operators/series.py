@@ -49,14 +49,14 @@ def census(df: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> Dat
     return level.select(*keys, F.explode(F.sequence("day", until)).alias("day"), "present").where("present > 0")
 
 
-def valid_months(days: DataFrame, day: str, gap: int = 10, burn_in: int = 21, floor: int = 20) -> DataFrame:
-    """(month, valid_days): days of runs (a gap of so many days ends one) without each run's first days, by month, with enough of them."""
-    d = days.select(F.col(day).alias("d")).distinct()
-    w = W.orderBy("d")  # one row per day
+def valid_months(days: DataFrame, day: str, keys: Sequence[str] = (), gap: int = 10, burn_in: int = 21, floor: int = 20) -> DataFrame:
+    """(keys, month, valid_days): days of runs (a gap of so many days ends one) without each run's first days, by month, with enough of them."""
+    d = days.select(*keys, F.col(day).alias("d")).distinct()
+    w = W.partitionBy(*keys).orderBy("d")  # one row per key and day
     new = F.coalesce((F.datediff("d", F.lag("d").over(w)) >= gap).cast("int"), F.lit(1))
     runs = d.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    kept = runs.withColumn("since", F.datediff("d", F.min("d").over(W.partitionBy("run")))).where(F.col("since") >= burn_in)
-    return kept.groupBy(F.trunc("d", "month").alias("month")).agg(F.count("*").alias("valid_days")).where(F.col("valid_days") >= floor)
+    kept = runs.withColumn("since", F.datediff("d", F.min("d").over(W.partitionBy(*keys, "run")))).where(F.col("since") >= burn_in)
+    return kept.groupBy(*keys, F.trunc("d", "month").alias("month")).agg(F.count("*").alias("valid_days")).where(F.col("valid_days") >= floor)
 
 
 def trailing_counts(df: DataFrame, date: str, key: str, trail: int = 30) -> DataFrame:

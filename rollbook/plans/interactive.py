@@ -163,8 +163,7 @@ def compose_over_time_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compose_over_time_month(spark: SparkSession, d: str) -> DataFrame:
-    thin = ledger(spark, d).where("c_mktsegment = 'BUILDING' AND o_totalprice > 450000")
-    return rounded(stats.compose(thin, "day", "o_orderstatus", "month"), 9, "share")
+    return rounded(stats.compose(ledger(spark, d), "day", "c_mktsegment", "month"), 9, "share")
 
 
 def _compose_sql(source: str, key: str, grain: str) -> str:
@@ -328,5 +327,5 @@ SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in glob
     "stay_compare_chapter": _stay_sql("chapter"),
     "stay_compare_chapter_year": _stay_sql("chapter, yr"),
     "compose_over_time_year": _compose_sql("orders", "o_orderpriority", "year"),
-    "compose_over_time_month": _compose_sql(f"(SELECT * FROM {_JOIN} WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 450000)", "o_orderstatus", "month"),
+    "compose_over_time_month": _compose_sql(_JOIN, "c_mktsegment", "month"),
 }

@@ -147,14 +147,16 @@ OVERLAY_REPLACE_IF = "SELECT doc_id, CASE WHEN toxic = 1 AND lang <> 'fr' THEN '
 
 
 def tie_break_unique(spark: SparkSession, d: str) -> DataFrame:
-    asked = orders(spark, d).select("o_custkey", "day", "o_orderkey").where("o_orderkey % 3 = 0")
-    read = orders(spark, d).where("o_orderkey % 3 <> 1").select("o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("day")).otherwise(F.date_add("day", 1)).alias("day"), F.col("o_orderpriority").alias("value"))
+    """Readings of some orders, by customer and day, or by customer alone where it has just one; most readings name no customer."""
+    asked = orders(spark, d).select("o_custkey", "day", "o_orderkey")
+    of = F.when(F.col("o_orderkey") % 14 == 0, F.col("o_custkey")).alias("o_custkey")
+    read = orders(spark, d).select(of, F.when(F.col("o_orderkey") % 4 == 0, F.col("day")).otherwise(F.date_add("day", 1)).alias("day"), F.col("o_orderpriority").alias("value"))
     return overlay.match_or_unique(asked, read, "o_custkey", "day", "value")
 
 
 TIE_BREAK_UNIQUE = """
-WITH a AS (SELECT o_custkey, o_orderdate::DATE AS day, o_orderkey FROM orders WHERE o_orderkey % 3 = 0),
-r AS (SELECT o_custkey, o_orderdate::DATE + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS day, o_orderpriority AS value FROM orders WHERE o_orderkey % 3 <> 1),
+WITH a AS (SELECT o_custkey, o_orderdate::DATE AS day, o_orderkey FROM orders),
+r AS (SELECT CASE WHEN o_orderkey % 14 = 0 THEN o_custkey END AS o_custkey, o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END AS day, o_orderpriority AS value FROM orders),
 e AS (SELECT o_custkey, day, min(value) AS v FROM r GROUP BY 1, 2), s AS (SELECT o_custkey, min(value) AS v FROM r GROUP BY 1 HAVING count(*) = 1)
 SELECT a.*, coalesce(e.v, s.v) AS value FROM a LEFT JOIN e USING (o_custkey, day) LEFT JOIN s USING (o_custkey)"""
 

@@ -42,16 +42,17 @@ CENSUS_DAILY = _SWEEP + " SELECT day, present FROM c WHERE present > 0"
 
 
 def census_valid_months(spark: SparkSession, d: str) -> DataFrame:
-    thin = stays(spark, d).where("l_suppkey = 1 AND l_returnflag = 'R'")
-    return series.valid_months(series.census(thin, "day", "shipped"), "day")
+    """By supplier and return flag."""
+    keys = ["l_suppkey", "l_returnflag"]
+    return series.valid_months(series.census(stays(spark, d), "day", "shipped", keys), "day", keys)
 
 
-CENSUS_VALID_MONTHS = (
-    _SWEEP.replace(_STAYS, _STAYS + " WHERE l_suppkey = 1 AND l_returnflag = 'R'")
-    + """, v AS (SELECT DISTINCT day AS d FROM c WHERE present > 0), n AS (SELECT d, CASE WHEN d - lag(d) OVER (ORDER BY d) < 10 THEN 0 ELSE 1 END AS new FROM v),
-r AS (SELECT d, sum(new) OVER (ORDER BY d) AS run FROM n), k AS (SELECT d, d - min(d) OVER (PARTITION BY run) AS since FROM r)
-SELECT date_trunc('month', d)::DATE AS month, count(*) AS valid_days FROM k WHERE since >= 21 GROUP BY 1 HAVING count(*) >= 20"""
-)
+CENSUS_VALID_MONTHS = """
+WITH s AS (SELECT l_suppkey, l_returnflag, o_orderdate::DATE AS a, l_shipdate::DATE AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+v AS (SELECT DISTINCT l_suppkey, l_returnflag, unnest(generate_series(a::TIMESTAMP, (z - 1)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM s WHERE z > a),
+n AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY d) < 10 THEN 0 ELSE 1 END AS new FROM v),
+r AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY d) AS run FROM n), k AS (SELECT *, d - min(d) OVER (PARTITION BY l_suppkey, l_returnflag, run) AS since FROM r)
+SELECT l_suppkey, l_returnflag, date_trunc('month', d)::DATE AS month, count(*) AS valid_days FROM k WHERE since >= 21 GROUP BY 1, 2, 3 HAVING count(*) >= 20"""
 
 
 def trailing_count_p90(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +82,12 @@ SELECT a.* FROM a JOIN f ON a.event_type = f.event_type AND a.day = f.day"""
 
 
 def spike_days(spark: SparkSession, d: str) -> DataFrame:
-    daily = orders(spark, d).where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000").groupBy("day").agg(F.count("*").alias("n"))
+    daily = orders(spark, d).groupBy("day").agg(F.count("*").alias("n"))
     return rounded(series.spikes(daily, "day", "n", 3, ratio=1.5), 6, "baseline")
 
 
 SPIKE_DAYS = """
-WITH c AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 GROUP BY 1),
+WITH c AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1),
 w AS (SELECT day, n, (sum(n) OVER b - n) / 28.0::DOUBLE AS baseline, count(*) OVER b AS around FROM c WINDOW b AS (ORDER BY day RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 14 DAY FOLLOWING))
 SELECT day, n, round(baseline, 6) AS baseline FROM w WHERE around >= 7 AND n >= 3 AND n >= 1.5 * greatest(baseline, 0.5)"""
 
