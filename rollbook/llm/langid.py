@@ -101,18 +101,35 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
-def train(samples: list[tuple[str, str]]) -> dict:
-    """The model: languages, alphabet, and per language the edges (state, symbol, next) of its automaton."""
+def _edges(texts: list[str], symbols: np.ndarray) -> np.ndarray:
+    """(state, symbol, next) of the automaton of a language's texts."""
+    # Texts are told apart by symbol 1, which is never followed.
+    states = suffix_automaton([s for t in texts for s in [*squeezed(symbols[_codes(t)]).tolist(), 1]])
+    return np.array([(k, c, to) for k, at in enumerate(states) for c, to in at.items() if c != 1], np.int32).reshape(-1, 3)
+
+
+def train(samples: list[tuple[str, str]], spark: SparkSession | None = None) -> dict:
+    """The model: languages, alphabet, and per language the edges (state, symbol, next) of its automaton.
+
+    With a session each automaton is built in a task of its own, which needs some hundred bytes a character."""
     letters = alphabet_of([t for _, t in samples])
-    symbols = symbol_map(letters)
-    langs = sorted({lang for lang, _ in samples})
-    edges = []
-    for lang in langs:
-        # Texts are told apart by symbol 1, which is never followed.
-        joined = [s for a, t in samples if a == lang for s in [*squeezed(symbols[_codes(t)]).tolist(), 1]]
-        states = suffix_automaton(joined)
-        edges.append(np.array([(k, c, to) for k, at in enumerate(states) for c, to in at.items() if c != 1], np.int32).reshape(-1, 3))
-    return {"langs": langs, "letters": letters, "edges": edges}
+    by_lang: dict[str, list[str]] = {}
+    for lang, text in samples:
+        by_lang.setdefault(lang, []).append(text)
+    langs = sorted(by_lang)
+    if spark is None or not langs:
+        symbols = symbol_map(letters)
+        return {"langs": langs, "letters": letters, "edges": [_edges(by_lang[lang], symbols) for lang in langs]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = symbol_map(letters)
+        for b in batches:
+            for k, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_edges(texts, symbols).tobytes()], pa.binary())], ["k", "edges"])
+
+    rows = spark.createDataFrame([(k, by_lang[lang]) for k, lang in enumerate(langs)], "k int, texts array<string>").repartition(len(langs), "k")
+    made = {r["k"]: np.frombuffer(r["edges"], np.int32).reshape(-1, 3) for r in rows.mapInArrow(run, "k int, edges binary").collect()}
+    return {"langs": langs, "letters": letters, "edges": [made[k] for k in range(len(langs))]}
 
 
 class Parser:
@@ -238,6 +255,6 @@ def in_training(doc_id: str = "doc_id") -> Column:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(training_texts(docs, in_training()))
+    model = train(training_texts(docs, in_training()), spark)
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~in_training()).alias("held_out"), "lang_pred", "score", "phrase_rate")

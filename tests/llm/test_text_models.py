@@ -163,7 +163,9 @@ def test_language_of_odd_rows(spark):
     assert got[1][0] == "fr" and got[4][0] == "de" and got[2] == got[3] == got[None] == ("und", 0.0)
     assert all(0 <= s <= 1 for _, s in got.values())
     assert langid.identify(docs.limit(0), model).count() == 0
-    empty = langid.train(langid.training_texts(docs.limit(0), F.lit(True)))
+    there = langid.train([("de", "guten tag allerseits"), ("fr", "bonjour tout le monde")], spark)
+    assert there["langs"] == model["langs"] and all((a == b).all() for a, b in zip(there["edges"], model["edges"], strict=True))
+    empty = langid.train(langid.training_texts(docs.limit(0), F.lit(True)), spark)
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
