@@ -44,7 +44,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     for half in (0, 1):
         # No document is judged by what its own label taught: each half by the texts of the other.
         mine = crc_remainder(F.col("doc_id"), 2) == half
-        model = langid.train(langid.training_texts(docs, ~mine))
+        model = langid.train(langid.training_texts(docs, ~mine), spark)
         part = docs.where(mine)
         if not model["langs"]:
             halves.append(part.where(F.col("text").rlike(r"\p{L}")))
