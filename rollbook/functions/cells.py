@@ -73,11 +73,17 @@ def loose_key(c: Column, articles: Sequence[str] = ("el", "al", "the", "de")) ->
     return F.array_join(words, "")
 
 
+#: Spellings of one sound, in this order.
+SOUNDS = (("ou", "u"), ("ee", "i"), ("oo", "u"), ("q", "k"), ("c", "k"), ("ph", "f"))
+
+
 def skeleton(c: Column) -> Column:
-    """The consonants of the loose key, doubled ones once, k for c and q."""
-    t = F.translate(loose_key(c), "cqz", "kks")
-    t = F.regexp_replace(t, "[aeiouyhw]", "")
-    return F.regexp_replace(t, r"(.)\1+", "$1")
+    """The loose key's first letter (V for any vowel) and the consonants after it, equal ones in a row once."""
+    t = loose_key(c)
+    for of, to in SOUNDS:
+        t = F.replace(t, F.lit(of), F.lit(to))
+    head = F.when(t.rlike("^[aeiouy]"), F.lit("V")).otherwise(F.substring(t, 1, 1))
+    return F.concat(head, F.regexp_replace(F.regexp_replace(F.substring(t, 2, 1 << 30), "[aeiouyh]", ""), r"(.)\1+", "$1"))
 
 
 def strip_range_prefix(c: Column) -> Column:

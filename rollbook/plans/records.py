@@ -42,16 +42,20 @@ def loose_key_skeleton(spark: SparkSession, d: str) -> DataFrame:
 
 
 # RE2 has no back-references, so doubled letters are undone one letter after the other.
-LOOSE_KEY_SKELETON = (
-    r"""
-WITH k AS (SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w NOT IN ('', 'el', 'al', 'the', 'de')), '') AS loose FROM part),
-s AS (SELECT p_partkey, loose, regexp_replace(translate(loose, 'cqz', 'kks'), '[aeiouyhw]', '', 'g') AS s FROM k)
-SELECT p_partkey, coalesce(loose, '') AS loose, """
-    + "".join("regexp_replace(" for _ in "bdfgjklmnprstvx0123456789")
-    + "s"
-    + "".join(f", '{c}+', '{c}', 'g')" for c in "bdfgjklmnprstvx0123456789")
-    + " AS skeleton FROM s"
-)
+def _keys_sql(text: str) -> tuple[str, str]:
+    """SQL of the loose key of a text, and of the skeleton of a loose key named loose."""
+    loose = f"array_to_string(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w NOT IN ('', 'el', 'al', 'the', 'de')), '')"
+    t = "loose"
+    for of, to in cells.SOUNDS:
+        t = f"replace({t}, '{of}', '{to}')"
+    body = f"regexp_replace(substr({t}, 2), '[aeiouyh]', '', 'g')"
+    for c in "bdfgjklmnprstvwxz0123456789":
+        body = f"regexp_replace({body}, '{c}+', '{c}', 'g')"
+    return loose, f"CASE WHEN regexp_matches({t}, '^[aeiouy]') THEN 'V' ELSE substr({t}, 1, 1) END || {body}"
+
+
+_LOOSE, _SKELETON = _keys_sql("p_name")
+LOOSE_KEY_SKELETON = f"WITH k AS (SELECT p_partkey, coalesce({_LOOSE}, '') AS loose FROM part) SELECT p_partkey, loose, {_SKELETON} AS skeleton FROM k"
 
 
 def code_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -285,13 +289,22 @@ SELECT c_custkey, s_nationkey, votes FROM r WHERE k = 1"""
 
 
 def tiered_places(spark: SparkSession, d: str) -> DataFrame:
-    """Nation names as misspelt by their users, by exact key, then by skeleton."""
+    """Nation names as their users wrote them, by exact key, then by skeleton."""
     nation = table(spark, d, "nation").select(F.col("n_name").alias("place"))
-    written = nation.select(F.col("place").alias("name")).unionByName(nation.select(F.translate("place", "AE", "EA").alias("name")))
+    users = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    written = users.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.translate("n_name", "AE", "EA")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("the "), "n_name")).otherwise(F.lit("nowhere")).alias("name"))
     keys = [(cells.loose_key(F.col("name")), cells.loose_key(F.col("place"))), (cells.skeleton(F.col("name")), cells.skeleton(F.col("place")))]
     return link.tiered(written, nation, keys, "place")
 
 
+TIERED_PLACES = f"""
+WITH w AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN translate(n_name, 'AE', 'EA') WHEN 1 THEN 'the ' || n_name ELSE 'nowhere' END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT *, {_keys_sql("name")[0]} AS loose FROM w), b AS (SELECT *, {_SKELETON} AS skel FROM a),
+g AS (SELECT n_name AS place, {_keys_sql("n_name")[0]} AS loose FROM nation), h AS (SELECT *, {_SKELETON} AS skel FROM g),
+one AS (SELECT loose, min(place) AS place FROM h WHERE loose <> '' GROUP BY 1 HAVING count(DISTINCT place) = 1), two AS (SELECT skel, min(place) AS place FROM h WHERE skel <> '' GROUP BY 1 HAVING count(DISTINCT place) = 1)
+SELECT c_custkey, name, coalesce(one.place, two.place) AS place, CASE WHEN one.place IS NOT NULL THEN 0 WHEN two.place IS NOT NULL THEN 1 END AS tier FROM b LEFT JOIN one USING (loose) LEFT JOIN two USING (skel)"""
+
+
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
     urgent = orders(spark, d).where("o_orderpriority = '1-URGENT'").select("o_custkey")
     late = orders(spark, d).where("day >= '1996-01-01'").select("o_custkey")
@@ -317,11 +330,31 @@ WITH p AS (SELECT doc_id, text, instr(text, 'License') AS a FROM documents)
 SELECT doc_id, substr(text, greatest(1, a - 40), a - greatest(1, a - 40) + 7 + 40) AS excerpt FROM p WHERE a > 0"""
 
 
+_GRADED = {"term": r"\bthe\b", "places": r"\b(?:of|de)\b", "guard": r"\blicen[cs]ed\b"}
+
+
 def lexicon_graded(spark: SparkSession, d: str) -> DataFrame:
+    """How near a term stands to a place, for each paragraph that holds the term and nothing that gives it another meaning."""
     rows = table(spark, d, "pages").select("page_id", "html", F.posexplode(cells.paragraphs(F.col("html"))).alias("at", "p"))
     rows = rows.withColumn("t", cells.html_to_text(F.col("p")))
-    grade = text.graded(F.col("t"), F.col("html"), r"\bthe\b", r"\b(?:of|de)\b", r"\bthisneverhappens\b")
-    return rows.withColumn("grade", grade).where("grade IS NOT NULL").groupBy("grade").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+    grade = text.graded(F.col("t"), F.col("html"), **_GRADED)
+    return rows.select("page_id", F.col("at").cast("long").alias("at"), grade.alias("grade")).where("grade IS NOT NULL")
+
+
+def _plain_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")) * 2:
+        t = f"replace({t}, '{name}', '{char}')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+LEXICON_GRADED = f"""
+WITH s AS (SELECT page_id, html, regexp_split_to_array(html, '(?i)</p>|<br\\s*/?>') AS ps FROM pages),
+u AS (SELECT page_id, html, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS "at" FROM s), t AS (SELECT page_id, html, "at", {_plain_sql("p")} AS t FROM u)
+SELECT page_id, "at", CASE WHEN regexp_matches(t, '^\\s*(?:{_GRADED["places"]})') THEN 'dateline'
+  WHEN regexp_matches(t, '(?s)(?:{_GRADED["places"]}).{{0,60}}(?:{_GRADED["term"]})|(?:{_GRADED["term"]}).{{0,60}}(?:{_GRADED["places"]})') THEN 'window'
+  WHEN regexp_matches(t, '{_GRADED["places"]}') THEN 'paragraph' WHEN regexp_matches(html, '{_GRADED["places"]}') THEN 'page' ELSE 'none' END AS grade
+FROM t WHERE regexp_matches(t, '{_GRADED["term"]}') AND NOT regexp_matches(t, '{_GRADED["guard"]}')"""
 
 
 def doc_verdict(spark: SparkSession, d: str) -> DataFrame:
