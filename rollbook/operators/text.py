@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -20,7 +21,10 @@ def concordance(df: DataFrame, doc: str, text: str, a: str, b: str, gap: int = 1
     def spans(body: str) -> list[tuple[int, int, int]]:
         left = [m.span() for m in re.finditer(a, body)]
         right = [m.span() for m in re.finditer(b, body)]
-        found = sorted((max(0, min(s, t) - context), min(len(body), max(e, f) + context)) for s, e in left for t, f in right if max(s, t) - min(e, f) <= gap)
+        # Matches come in order: each a meets only the b that begin near it.
+        begins, longest = [t for t, _ in right], max((f - t for t, f in right), default=0)
+        near = ((s, e, t, f) for s, e in left for t, f in right[bisect_left(begins, s - gap - longest) : bisect_right(begins, e + gap)])
+        found = sorted((max(0, min(s, t) - context), min(len(body), max(e, f) + context)) for s, e, t, f in near if max(s, t) - min(e, f) <= gap)
         out: list[list[int]] = []
         for s, e in found:
             if out and s <= out[-1][1]:

@@ -168,3 +168,30 @@ def test_votes_of_equal_references(spark):
     points = spark.createDataFrame([(1, 6.0), (2, 5.0), (3, 4.5), (4, 8.9), (5, 9.0), (6, 20.0)], "p long, v double")
     got = {r.p: (r.l, r.votes) for r in link.neighbour_vote(points, refs, "p", "v", "v", "r", "l", 2, width=3.0).collect()}
     assert got == {1: ("a", 2), 2: ("a", 2), 3: ("a", 2), 4: ("c", 2), 5: ("c", 2), 6: ("c", 2)}
+
+
+def test_concordance_against_all_pairs(spark):
+    import random
+    import re
+
+    from rollbook.operators import text
+
+    rng = random.Random(3)
+    bodies = [" ".join(rng.choice(["aa", "bbbb", "b", "x", "yyyyy"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(bodies), (99, None)], "id int, body string")
+    got = {(r.id, r.start, r.end): (r.hits, r.excerpt) for r in text.concordance(df, "id", "body", r"\baa\b", r"\bb+\b", 6, 3).collect()}
+    want = {}
+    for i, body in enumerate(bodies):
+        pairs = []
+        for x in re.finditer(r"\baa\b", body):
+            for y in re.finditer(r"\bb+\b", body):
+                if max(x.start(), y.start()) - min(x.end(), y.end()) <= 6:
+                    pairs.append((max(0, min(x.start(), y.start()) - 3), min(len(body), max(x.end(), y.end()) + 3)))
+        cover = []
+        for s, e in sorted(pairs):
+            if cover and s <= cover[-1][1]:
+                cover[-1] = (cover[-1][0], max(e, cover[-1][1]), cover[-1][2] + 1)
+            else:
+                cover.append((s, e, 1))
+        want.update({(i, s, e): (n, body[s:e]) for s, e, n in cover})
+    assert got == want
