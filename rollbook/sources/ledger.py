@@ -81,3 +81,50 @@ def canvases(df: DataFrame, manifest: str, notebook: str) -> DataFrame:
     rows = df.select(notebook, F.posexplode(F.from_json(manifest, shape)["canvases"]).alias("index", "c"))
     page = F.nullif(F.regexp_extract("c.label", r"_([0-9]+)(?:_[^0-9_]*)*$", 1), F.lit("")).cast("int")
     return rows.select(notebook, "index", F.col("c.label").alias("label"), page.alias("page"), F.col("c.id").alias("id"))
+
+
+def base_view(df: DataFrame, left_out: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose cells hold none of the given values, and how many rows each reason takes out (reason, records)."""
+    reason = F.lit(None).cast("string")
+    for column, values in reversed(list(left_out.items())):
+        reason = F.when(F.coalesce(F.col(f"`{column}`").isin(*values), F.lit(False)), F.lit(column)).otherwise(reason)
+    told = df.withColumn("_reason", reason)
+    dropped = told.where("_reason IS NOT NULL").groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("records"))
+    return told.where("_reason IS NULL").drop("_reason"), dropped
+
+
+def typed(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Trimmed cells, empty ones null, rows without any cell left out; the named columns as their types, null where a cell is none."""
+    cells = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in df.columns]
+    out = df.select(*cells)
+    out = out.where(F.coalesce(*(F.col(f"`{c}`") for c in df.columns)).isNotNull())
+    return out.select(*(F.expr(f"try_cast(`{c}` AS {kinds[c]})").alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns))
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A quoted CSV with a header: all columns as strings, doubled quotes and line ends inside quotes kept."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=True).csv(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON file that is one array or one object: a row for each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_richer(df: DataFrame, path: str, column: str, kind: str = "parquet") -> None:
+    """Writes df, but never over a table in which more rows have a value in the column: that is an error.
+
+    df must not read from the path itself."""
+    before = optional(df.sparkSession, path, f"`{column}` {dict(df.dtypes)[column]}", kind).where(F.col(column).isNotNull()).count()
+    now = df.where(F.col(column).isNotNull()).count()
+    if now < before:
+        raise ValueError(f"{path} has {before} rows with {column}, the new table only {now}")
+    df.write.format(kind).mode("overwrite").save(path)
+
+
+def export_csv(df: DataFrame, path: str, visible: Sequence[str], order: Sequence[str], decisions: DataFrame | None = None, key: str | None = None) -> None:
+    """The visible columns in the order of the screen, with decision columns joined by a key, as quoted CSV."""
+    out = df if decisions is None else df.join(decisions, key, "left")
+    more = [] if decisions is None else [c for c in decisions.columns if c != key and c not in visible]
+    out.orderBy(*order).select(*visible, *more).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)

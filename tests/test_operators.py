@@ -195,3 +195,37 @@ def test_concordance_against_all_pairs(spark):
                 cover.append((s, e, 1))
         want.update({(i, s, e): (n, body[s:e]) for s, e, n in cover})
     assert got == want
+
+
+def test_base_view_tells_what_it_drops(spark):
+    df = spark.createDataFrame([(1, "camp", "x"), (2, "town", "birth"), (3, "town", "x"), (4, None, None), (5, "camp", "birth")], "id int, book string, kind string")
+    kept, dropped = ledger.base_view(df, {"book": ["camp"], "kind": ["birth"]})
+    assert sorted(r.id for r in kept.collect()) == [3, 4] and {r.reason: r.records for r in dropped.collect()} == {"book": 2, "kind": 1}
+
+
+def test_typed_cells(spark):
+    df = spark.createDataFrame([(" 7 ", "a "), ("x", ""), ("", "  "), (None, None)], "n string, t string")
+    assert [tuple(r) for r in ledger.typed(df, {"n": "INT"}).collect()] == [(7, "a"), (None, None)]
+
+
+def test_csv_and_json_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,t\n1,"says ""so"", twice\nover"\n2,\n')
+    assert [tuple(r) for r in ledger.read_csv(spark, str(tmp_path / "a.csv"), ["n", "t"]).collect()] == [("1", 'says "so", twice\nover'), ("2", None)]
+    (tmp_path / "a.json").write_text('[{"k": "x", "n": 1},\n {"k": "y"}]')
+    assert sorted((r.k, r.n) for r in ledger.read_json(spark, str(tmp_path / "a.json"), "k string, n int").collect()) == [("x", 1), ("y", None)]
+
+
+def test_poorer_output_is_refused(spark, tmp_path):
+    rich, poor = (spark.createDataFrame(rows, "id int, v string") for rows in ([(1, "a"), (2, "b")], [(1, "a"), (2, None)]))
+    path = str(tmp_path / "out")
+    ledger.write_richer(rich, path, "v")
+    with pytest.raises(ValueError, match="2 rows"):
+        ledger.write_richer(poor, path, "v")
+    assert spark.read.parquet(path).where("v IS NOT NULL").count() == 2
+
+
+def test_export_in_screen_order(spark, tmp_path):
+    df = spark.createDataFrame([(1, "b", 0), (2, "a", 0)], "id int, name string, hidden int")
+    ledger.export_csv(df.coalesce(1), str(tmp_path / "x"), ["name", "id"], ["name"], spark.createDataFrame([(2, "keep")], "id int, verdict string"), "id")
+    got = spark.read.csv(str(tmp_path / "x"), header=True)
+    assert got.columns == ["name", "id", "verdict"] and sorted(map(tuple, got.collect()), key=str) == [("a", "2", "keep"), ("b", "1", None)]
