@@ -332,3 +332,82 @@ def test_folds(spark):
     for r in got:
         h = zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode())
         assert r.a == (h % 7 != 2) and r.b == (h % 4 != 2)
+
+
+def test_maxent_probabilities_and_gradient():
+    rng = np.random.default_rng(7)
+    mass = rng.integers(1, 50, maxent.K).astype(float)
+    w = maxent.Weights(mass)
+    for x in (w.classes, w.slots):
+        x += rng.normal(0, 0.3, x.shape).astype(np.float32)
+    f = rng.integers(0, maxent.ROWS, (1, maxent.KINDS))
+    every = np.arange(maxent.K)
+    assert abs((10 ** w.log10_slot(np.repeat(f, maxent.K, axis=0), every)).sum() - 1) < 1e-4
+    # A step follows the slope of the log-likelihood, found by differences.
+    f, slot = rng.integers(0, 3, (40, maxent.KINDS)), rng.integers(0, maxent.K, 40)
+    like = lambda: w.log10_slot(f, slot).sum() * np.log(10)
+    k, row = 1, f[0, 1]
+    slope = np.zeros(maxent.CLASSES)
+    for c in range(maxent.CLASSES):
+        w.classes[k, row, c] += 0.02
+        up = like()
+        w.classes[k, row, c] -= 0.04
+        slope[c] = (up - like()) / 0.04
+        w.classes[k, row, c] += 0.02
+    before = w.classes[k, row].copy()
+    w.descend(f, slot, [np.zeros(x.shape[0], np.float32) for part in (w.classes, w.slots) for x in part])
+    step = w.classes[k, row] - before
+    want = 2 * maxent.RATE * slope / np.sqrt((slope**2).sum() + 1)
+    assert np.abs(step - want).max() < 5e-3
+
+
+def test_quality_against_plain_python(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "good words here " * int(rng.integers(1, 9)) if rng.random() < 0.6 else "BUY!! $$$ " * int(rng.integers(1, 9)), f"s{rng.integers(0, 4)}" if i % 17 else None, f"l{rng.integers(0, 3)}") for i in range(240)]
+    labels = [(i, int(r[1].startswith("good"))) for i, r in enumerate(rows) if i % 3 == 0] + [(3, 0), (None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.classify(docs, marks, prefix="").collect()
+    model = quality.train(docs, marks)
+    y = {}
+    for i, q in labels:
+        if i is not None:
+            y.setdefault(i, []).append(q)
+    paths, hosts = collections.defaultdict(lambda: [0.0, 0.0]), collections.defaultdict(lambda: [0.0, 0.0])
+    for r in got:
+        weight = 1.0 if r.doc_id in y else quality.SOFT_WEIGHT
+        value = np.mean(y[r.doc_id]) if r.doc_id in y else 1 / (1 + math.exp(-(r.text_score + model["base"])))
+        for sums, key in ((paths, (r.source, r.lang)), (hosts, r.source)):
+            sums[key][0] += weight
+            sums[key][1] += weight * value
+    n, good = (sum(h[k] for h in hosts.values()) for k in (0, 1))
+    rate = (good + 0.5) / (n + 1)
+
+    def strength(groups, prior):
+        whole = sum(g[0] * prior(k) * (1 - prior(k)) for k, g in groups.items())
+        total = sum(g[0] for g in groups.values())
+        spread = sum(g[0] * (g[1] / g[0] - prior(k)) ** 2 for k, g in groups.items())
+        between = (spread - sum(prior(k) * (1 - prior(k)) for k in groups)) / total
+        return min(quality.MOST_STRENGTH, max(1.0, whole / total / between - 1)) if between > 0 else quality.MOST_STRENGTH
+
+    of_hosts = strength(hosts, lambda k: rate)
+    host_rate = {k: (g[1] + of_hosts * rate) / (g[0] + of_hosts) for k, g in hosts.items()}
+    of_paths = strength(paths, lambda k: host_rate[k[0]])
+    path_rate = {k: (g[1] + of_paths * host_rate[k[0]]) / (g[0] + of_paths) for k, g in paths.items()}
+    for r in got:
+        p = path_rate[r.source, r.lang]
+        assert abs(r.host_rate - host_rate[r.source]) < 1e-9 and abs(r.path_rate - p) < 1e-9
+        assert abs(r.quality - 1 / (1 + math.exp(-(r.text_score + math.log(p / (1 - p)))))) < 1e-9 and r.good == (r.quality >= 0.5)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c", "s", "x", "y"), (1, "d e f", "s", "x", "y"), (None, "g h", None, "x", "y"), (None, "i j", None, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _target string, _size string")
+    got = mixing.mix(docs, prefix="m_")
+    assert got.columns == [*docs.columns, "m_size", "m_source_size", "m_target", "m_copies"]
+    assert {(r._target, r._size) for r in got.collect()} == {("x", "y")}
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(docs.repartition(3), prefix="m_").collect()))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    named = docs.withColumnsRenamed({"_target": "_host", "_size": "_path"}).withColumn("lang", F.lit("en"))
+    out = quality.classify(named, labels, prefix="q_")
+    assert out.columns[: len(named.columns)] == named.columns and {(r._host, r._path) for r in out.collect()} == {("x", "y")}
