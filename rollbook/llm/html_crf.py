@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,13 +55,16 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
     """(path, text, share of the text in links, label) of each block of a page, in page order.
 
     A block is the text between two tags of block elements; inline elements stay inside. The path holds the open block
-    elements, outermost first, each as (tag, name words). The text of a hidden element is dropped at its end tag; one that is
+    elements, outermost first, each as (tag, name words); of equal ones outside the innermost two only the first, so that a
+    block deep inside others shares their path and does not copy it. The text of a hidden element is dropped at its end tag; one that is
     not closed before the element around it hides nothing. References are decoded, white space is one space.
     """
     out: list[tuple[tuple, str, float, str | None]] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    #: Open block elements: tag, name words, the label that holds in it, and the distinct elements up to it.
+    stack: list[tuple[str, tuple[str, ...], str | None, tuple]] = []
+    opened: Counter = Counter()
     text: list[str] = []
     linked = [0]
     in_link = 0
@@ -72,11 +76,16 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
         if text:
             words = " ".join(_html.unescape("".join(text)).split())
             if words:
-                label = next((y for _, _, y in reversed(stack) if y is not None), None)
-                out.append((tuple((t, c) for t, c, _ in stack), words, min(1.0, linked[0] / len(words)), label))
+                path = (stack[-3][3] if len(stack) > 2 else ()) + tuple(x[:2] for x in stack[-2:])
+                out.append((path, words, min(1.0, linked[0] / len(words)), stack[-1][2] if stack else None))
             text.clear()
         linked[0] = 0
 
+    def close(depth: int) -> None:
+        for entry in stack[depth:]:
+            opened[entry[0]] -= 1
+        del stack[depth:]
+
     while pos < n:
         m = TOKEN.match(page, pos)
         if m is None:
@@ -98,14 +107,15 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
                 for k in range(len(hidden) - 1, -1, -1):
                     if hidden[k][0] == tag:
                         _, depth, blocks, before, linked[0], in_link = hidden[k]
-                        del out[blocks:], stack[depth:], hidden[k:]
+                        del out[blocks:], hidden[k:]
+                        close(depth)
                         text[:] = [*before, " "]
                         break
             elif tag not in INLINE:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        close(k)
                         in_link = 0
                         hidden = [h for h in hidden if h[1] <= k]
                         break
@@ -132,12 +142,15 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
         flush()
         floor = hidden[-1][1] if hidden else 0
         if len(stack) > floor and stack[-1][0] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         while len(stack) > floor and stack[-1][0] in CLOSES.get(tag, ()):
-            stack.pop()
+            close(len(stack) - 1)
         if tag not in VOID and tag not in ("html", "body", "head"):
             names, label = _names(m["attrs"] or m["attrs2"] or "")
-            stack.append((tag, names, label))
+            label = stack[-1][2] if label is None and stack else label
+            around = stack[-1][3] if stack else ()
+            stack.append((tag, names, label, around if (tag, names) in around else (*around, (tag, names))))
+            opened[tag] += 1
     flush()
     return out
 

@@ -411,3 +411,11 @@ def test_columns_of_any_name(spark):
     named = docs.withColumnsRenamed({"_target": "_host", "_size": "_path"}).withColumn("lang", F.lit("en"))
     out = quality.classify(named, labels, prefix="q_")
     assert out.columns[: len(named.columns)] == named.columns and {(r._host, r._path) for r in out.collect()} == {("x", "y")}
+
+
+def test_deep_pages(spark):
+    deep = "<article>" + "<div>x" * 60_000
+    blocks = html_crf.leaf_blocks(deep)
+    assert len(blocks) == 60_000 and max(len(b[0]) for b in blocks) <= 4
+    row = html_crf.extract(spark.createDataFrame([(1, deep)], "page_id long, html string")).first()
+    assert set(row.text) <= {"x", " "}
