@@ -17,6 +17,8 @@ BROADCAST_BUCKETS = 1_000_000
 #: Components and buckets from this size on are settled in blocks of BLOCK members, not in pairs.
 LARGE = 64
 BLOCK = 512
+#: Members of a block that one member is compared with at a time.
+STEP = 64
 
 #: (pairs (a, b)) -> links (a, b)
 Verify = Callable[[DataFrame], DataFrame]
@@ -31,17 +33,26 @@ def shared_buckets(members: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(hits: DataFrame) -> DataFrame:
-    """(a, b): each bucket's members b with its pivot a, the one that meets most others over all its buckets."""
+    """(bucket, met, a, b): each bucket's members b with its pivot a, the one that meets most others over all its buckets."""
     met = hits.groupBy("rep").agg(F.sum("n").alias("met"))
     pivots = hits.join(met, "rep").groupBy("bucket").agg(F.max(F.struct("met", "rep")).alias("top"))
-    return hits.join(pivots.select("bucket", F.col("top.rep").alias("a")), "bucket").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    paired = hits.join(pivots.select("bucket", F.col("top.met").alias("met"), F.col("top.rep").alias("a")), "bucket")
+    return paired.where("rep <> a").select("bucket", "met", "a", F.col("rep").alias("b"))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (node, component) after links (a, b) between its nodes: components of the graph of components."""
+    ends = links.join(comps.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(comps.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    joined = connected_components(ends.where("x <> y").select("x", "y").distinct(), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return checkpointed(comps.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def _in_blocks(left: DataFrame, right: DataFrame, data: DataFrame, prepare: Callable, compare: Compare) -> DataFrame:
     """Links (a, b) between the members of left and of right (grp, rep, component) with equal grp and other components.
 
-    Both sides of a group are dealt into blocks of BLOCK; a task holds one block of each at a time and gives back links
-    only, so pairs are compared but never made into rows.
+    Both sides of a group are dealt into blocks of BLOCK; a task holds one block of each at a time. It compares members of
+    different components only, takes their components as one after a link, and gives back these links: a spanning forest of
+    what the blocks join, so neither the rows nor, in a family, the comparisons grow with the square of its size.
     """
     blocks = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     shape = blocks(left, "lefts").join(blocks(right, "rights"), "grp")
@@ -57,9 +68,17 @@ def _in_blocks(left: DataFrame, right: DataFrame, data: DataFrame, prepare: Call
         links = []
         if len(x) and len(y):
             x, y = (z.rename(columns=lambda c: c[:-2]) for z in (x, y))
-            ids, comps, others = y["rep"].to_numpy(), y["component"].to_numpy(), prepare(y)
-            for row in x.itertuples(index=False):
-                links += [(row.rep, ids[j]) for j in compare(row, others, np.flatnonzero(comps != row.component))]
+            ids, others = y["rep"].to_numpy(), prepare(y)
+            label = np.unique(np.concatenate([x["component"].to_numpy(), y["component"].to_numpy()]), return_inverse=True)[1]
+            mine, theirs = label[: len(x)], label[len(x) :]
+            for k, row in enumerate(x.itertuples(index=False)):
+                for at in range(0, len(y), STEP):
+                    part = theirs[at : at + STEP]
+                    for j in compare(row, others, at + np.flatnonzero(part != mine[k])):
+                        if theirs[j] != mine[k]:
+                            links.append((row.rep, ids[j]))
+                            gone = theirs[j]
+                            mine[mine == gone] = theirs[theirs == gone] = mine[k]
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     keyed = lambda df, x: df.groupBy(f"grp_{x}", f"row_{x}", f"col_{x}")
@@ -73,8 +92,7 @@ def unsettled_links(hits: DataFrame, comps: DataFrame, data: DataFrame, verify:
     other. A large bucket without one: its members are held against each other. Both in blocks. What is left are buckets
     of at most LARGE members, whose pairs are made and verified.
     """
-    everyone = hits.select("rep").distinct().join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    everyone = everyone.select("rep", F.coalesce("component", "rep").alias("component"))
+    everyone = comps.withColumnRenamed("node", "rep")
     everyone = checkpointed(everyone.join(everyone.groupBy("component").agg((F.count("*") >= LARGE).alias("large")), "component"))
     placed = hits.select("bucket", "rep").join(everyone, "rep")
     open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("large").alias("any_large"))
@@ -97,8 +115,17 @@ def settle(hits: DataFrame, data: DataFrame, verify: Verify, prepare: Callable,
     """(node, component) over all links between members that share a bucket of hits (bucket, rep, n), and the edges of more (a, b).
 
     data (rep, ...) is what compare sees of a member; prepare turns a block of it into what compare takes as the others.
+    First each member is held against one pivot, that of its buckets which meets most; then against the pivots of those
+    buckets only that still hold other components than the pivot's; then what is left is settled exactly.
     """
-    links = verify(pivot_pairs(hits))
+    pairs = checkpointed(pivot_pairs(hits))
+    links = verify(pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("top")).select(F.col("top.a").alias("a"), "b"))
     links = checkpointed(links if more is None else links.unionAll(more))
-    comps = connected_components(links)
-    return connected_components(checkpointed(links.unionAll(unsettled_links(hits, comps, data, verify, prepare, compare))))
+    nodes = hits.select(F.col("rep").alias("node"))
+    if more is not None:
+        nodes = nodes.unionAll(more.select("a")).unionAll(more.select("b"))
+    comps = checkpointed(nodes.distinct().join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    of = lambda name, to: comps.select(F.col("node").alias(name), F.col("component").alias(to))
+    again = pairs.select("a", "b").distinct().join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select("a", "b")
+    comps = merged(comps, checkpointed(verify(again)))
+    return merged(comps, checkpointed(unsettled_links(hits, comps, data, verify, prepare, compare)))

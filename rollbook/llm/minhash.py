@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     components are settled exactly (buckets.unsettled_links). So a group of near copies costs its size, and no link between classes that a
     band brings together is left out.
 
-    Null, empty and word-free texts: n_shingles 0, linked with nothing. Null doc_id: the row is linked as others are, its
-    component comes from the other rows; alone, it is null. Repeated rows each get the same result. Empty table: no rows.
+    Null, empty and word-free texts: n_shingles 0, linked with nothing. Null doc_id: a row
+    that no id tells apart is no document of its own; it gets the component of the documents of an equal set, or null. Repeated rows each get the same result. Empty table: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     signed = checkpointed(rows.mapInArrow(_sign(width), _SIGNED))
