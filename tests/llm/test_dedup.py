@@ -146,3 +146,46 @@ def test_images_cropped_and_edited(spark):
     assert (got[20], got[21], got[22], got[23]) == (0, 1, 2, 3)
     assert all(got[k] == k for k in (30, 31, 32, 33)) and got[None] is None
     assert media.copies(df.limit(0)).count() == 0
+
+
+def textured(seed, side=96):
+    rng = np.random.default_rng(seed)
+    a = sum(w * media.resized(rng.normal(size=(s, s)).astype(np.float32), side, side) for s, w in ((6, 1.0), (12, 0.7), (24, 0.5), (48, 0.3)))
+    return np.rint((a - a.min()) / (a.max() - a.min()) * 255).astype(np.float32)
+
+
+def cut(a, share):
+    k = int(len(a) * share)
+    at = (len(a) - k) // 3
+    return a[at : at + k, at : at + k]
+
+
+EDITS = {
+    "scaled to 0.8": lambda a: media.resized(a, int(len(a) * 0.8), int(len(a) * 0.8)),
+    "scaled to 2": lambda a: media.resized(a, 2 * len(a), 2 * len(a)),
+    "noise of 8": lambda a: np.clip(a + np.random.default_rng(9).normal(0, 8, a.shape), 0, 255),
+    "blurred": lambda a: media._blurred(a, 1),
+    "darker": lambda a: np.clip(a * 0.8 + 20, 0, 255),
+    "turned by 90 degrees": lambda a: np.rot90(a).copy(),
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_recall_of_edited_images(edit):
+    found = 0
+    for seed in range(30):
+        a = textured(seed)
+        p, q = media.corners(a), media.corners(np.rint(EDITS[edit](a)).astype(np.float32))
+        found += media.consensus(p, q) >= media.CONSENSUS and len(np.intersect1d(media.table_keys(p), media.table_keys(q))) > 0
+    assert found >= 27
+
+
+def test_images_against_brute_force(spark):
+    pictures = [textured(k, 72) for k in range(10)]
+    pictures += [EDITS["blurred"](pictures[0]), EDITS["darker"](pictures[0]), cut(pictures[1], 0.8), EDITS["scaled to 0.8"](pictures[2]), *(EDITS["noise of 8"](pictures[3]) for _ in range(3))]
+    pictures = [np.rint(p).astype(np.float32) for p in pictures]
+    df = spark.createDataFrame([(k, media.encode_pgm(p)) for k, p in enumerate(pictures)], "media_id long, image binary")
+    got = {r.media_id: r.component_id for r in media.copies(df).collect()}
+    points = [media.corners(p) for p in pictures]
+    links = [(a, b) for a, b in itertools.combinations(range(len(points)), 2) if max(media.consensus(points[a], points[b]), media.consensus(points[b], points[a])) >= media.CONSENSUS]
+    assert got == components(range(len(points)), links) and len(links) >= 8
