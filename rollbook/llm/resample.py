@@ -180,7 +180,8 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     text = F.col(f"`{text_col}`")
     gain = gains(bucket_counts(docs.select(text), buckets, max_n), bucket_counts(target, buckets, max_n), buckets)
     found = weights(docs, gain, id_col, text_col, buckets, max_n)
-    found = found.withColumns({"score": F.col("weight") + noise(F.col("id"), seed), "open": F.col("n_words") >= min_words})
+    # Written down: dealing rows by ranges reads them twice, and the texts should be walked once.
+    found = checkpointed(found.withColumns({"score": F.col("weight") + noise(F.col("id"), seed), "open": F.col("n_words") >= min_words}))
     order = (F.col("open").desc(), F.col("score").desc(), F.col("id").asc_nulls_last())
     ranked = numbered(found, *order)
     most = ranked.agg(F.floor(F.count_if("open") * percent / 100).alias("most"))
