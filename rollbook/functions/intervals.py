@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,19 +29,36 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(some, (centre - half) / (1 + z2 / n)), F.when(some, (centre + half) / (1 + z2 / n))
 
 
-def log10_poisson_tail(n: Column, mu: Column, terms: int = 400) -> Column:
+#: Counts from which Stirling's series gives ln n! to ten digits; below, a table.
+SERIES_FROM = 10
+
+
+def ln_factorial(n: Column) -> Column:
+    """ln n!, in closed form."""
+    few = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(SERIES_FROM)))
+    x = n.cast("double")
+    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < SERIES_FROM, F.get(few, n.cast("int"))).otherwise(series)
+
+
+def ln_poisson(n: Column, mu: Column) -> Column:
+    """ln of the probability of just n events where mu are expected: a floor of the tail's, without its sum."""
+    return n * F.ln(mu) - mu - ln_factorial(n)
+
+
+def log10_poisson_tail(n: Column, mu: Column) -> Column:
     """log10 of the probability of n or more events where mu are expected.
 
-    The first term by its logarithm; the others as running products of mu over the next count.
+    The first term by its logarithm; the others as running products of mu over the next count, as many as can add to the
+    tenth digit: they fall from the greater of n and mu on as a bell of width sqrt(n) does.
     """
-    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda acc, k: acc + F.ln(k.cast("double")))
-    first = n * F.ln(mu) - mu - log_factorial
+    terms = F.ceil(10 + F.greatest(mu - n, F.lit(0.0)) + F.sqrt(60 * F.greatest(n.cast("double"), mu))).cast("int")
     sums = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms - 1)),
+        F.sequence(F.lit(1), terms),
         F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
         lambda acc, k: F.struct(
             (acc["sum"] + acc["term"] * mu / (n + k)).alias("sum"),
             (acc["term"] * mu / (n + k)).alias("term"),
         ),
     )
-    return (first + F.ln(sums["sum"])) / F.ln(F.lit(10.0))
+    return (ln_poisson(n, mu) + F.ln(sums["sum"])) / F.ln(F.lit(10.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.intervals import log10_poisson_tail
+from ..functions.intervals import ln_poisson, log10_poisson_tail
 
 
 def spine(df: DataFrame, date: str, grain: str = "day") -> DataFrame:
@@ -61,9 +62,11 @@ def valid_months(days: DataFrame, day: str, keys: Sequence[str] = (), gap: int =
 
 def trailing_counts(df: DataFrame, date: str, key: str, trail: int = 30) -> DataFrame:
     """(key, day, n, trailing): rows of the day and of the last so many days, for every day that any key has (the open days)."""
-    open_days = df.select(F.col(date).alias("day")).where("day IS NOT NULL").distinct()
     counts = df.groupBy(F.col(key).alias(key), F.col(date).alias("day")).agg(F.count("*").alias("n"))
-    grid = open_days.crossJoin(F.broadcast(counts.select(key).distinct())).join(counts, [key, "day"], "left").fillna({"n": 0})
+    # The calendar is one row, an entry a day; each key's row lays it out, wherever that row is.
+    calendar = df.where(F.col(date).isNotNull()).agg(F.array_sort(F.collect_set(date)).alias("days"))
+    grid = counts.select(key).distinct().join(F.broadcast(calendar)).select(key, F.explode("days").alias("day"), F.lit(0).cast("long").alias("n"))
+    grid = grid.unionByName(counts.where("day IS NOT NULL")).groupBy(key, "day").agg(F.sum("n").alias("n"))
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
     w = W.partitionBy(key).orderBy("at").rangeBetween(-(trail - 1), 0)
     return grid.withColumn("at", number).select(key, "day", "n", F.sum("n").over(w).alias("trailing"))
@@ -133,10 +136,9 @@ def clusters(df: DataFrame, keys: Sequence[str], day: str, window: int = 3, base
     found = wide.where((F.col("n") >= least) & (F.col("total") >= least)).join(cover, "at")
     days = F.greatest(F.col("cov_before") + F.col("cov_after"), F.lit(1))
     mu = F.greatest((F.col("around") - F.col("n")) / days * window, window / days)
-    found = found.withColumn("mu", mu)
-    # A tail is a long sum: once for each pair of figures that occurs, and these are few.
-    tails = found.select("n", "mu").distinct().withColumn("log10_p", log10_poisson_tail(F.col("n"), F.col("mu")))
-    found = found.join(tails.where(F.col("log10_p") < F.log10(F.lit(p))), ["n", "mu"])
+    # Most windows go by their first term, which the tail can't be below; the sum is made for the others only.
+    found = found.withColumn("mu", mu).where((F.col("n") > F.col("mu")) & (ln_poisson(F.col("n"), F.col("mu")) < math.log(p)))
+    found = found.withColumn("log10_p", log10_poisson_tail(F.col("n"), F.col("mu"))).where(F.col("log10_p") < math.log10(p))
     date = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
     return found.select(*keys, date("at").alias("start"), date("last").alias("end"), "n", "mu", "log10_p")
 
