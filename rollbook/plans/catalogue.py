@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import curation, interactive, records, timelines
+from . import cleaning, curation, interactive, linkage, records, timelines
 
-QUERIES = {**interactive.QUERIES, **timelines.QUERIES, **records.QUERIES, **curation.QUERIES}
-SQL = {**interactive.SQL, **timelines.SQL, **records.SQL, **curation.SQL}
+_PARTS = (interactive, timelines, records, curation, cleaning, linkage)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

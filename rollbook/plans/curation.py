@@ -1,4 +1,4 @@
-"""Cleaning rules and curation over the tables. Messy cells are made from keys by the same SQL on both sides."""
+"""Curation over the tables."""
 
 from __future__ import annotations
 
@@ -10,95 +10,6 @@ from ..operators import curation
 from .base import events, orders, rounded, table
 
 
-def _of(key: str, *cells: str | None) -> str:
-    """SQL of a cell that takes one of the given texts by a key."""
-    told = lambda c: "NULL" if c is None else "'" + c.replace("'", "''") + "'"
-    return f"CASE {key} % {len(cells)} " + " ".join(f"WHEN {k} THEN {told(c)}" for k, c in enumerate(cells)) + " END"
-
-
-def _cells(spark: SparkSession, d: str, **cells: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", *(F.expr(sql).alias(name) for name, sql in cells.items()))
-
-
-_TYPHUS = _of("o_orderkey", "Typhus exanthematicus", "typhus", "Murine typhus", "Typhus ?", "Malaria", "TYPHUS epidemic", "typhus and wound", None)
-_CODE = _of("o_orderkey", "080", "081.9|079", "002.0", "084.9", "084.6")
-
-
-def typhus_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, written=_TYPHUS, current=_CODE).withColumn("code", rules.typhus_code(F.col("written"), F.col("current")))
-
-
-TYPHUS_CODES = f"""
-WITH c AS (SELECT o_orderkey, {_TYPHUS} AS written, {_CODE} AS current FROM orders)
-SELECT *, CASE WHEN NOT regexp_matches(coalesce(written, ''), '(?i)typhus') THEN '' WHEN regexp_matches(written, '{rules.TYPHUS_HELD}') THEN current
-  WHEN regexp_matches(written, '(?i)exanth|epidemic') THEN '080' WHEN regexp_matches(written, '(?i)murine') THEN '081.0' ELSE '081.9' END AS code FROM c"""
-
-_MALARIA = _of("o_orderkey", "Malaria B.T.", "Mal. m.t.", "Malaria benign and malignant", "quartan", "cerebral malaria", "malaria", None)
-_SPECIES = _of("o_orderkey", "084.9", "084.0|001", "084.6", "080", None)
-
-
-def malaria_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, written=_MALARIA, current=_SPECIES).withColumn("code", rules.malaria_code(F.col("written"), F.col("current")))
-
-
-MALARIA_CODES = f"""
-WITH c AS (SELECT o_orderkey, {_MALARIA} AS written, {_SPECIES} AS current FROM orders), f AS (SELECT *, trim(split_part(coalesce(current, ''), '|', 1)) AS first, lower(coalesce(written, '')) AS w FROM c)
-SELECT o_orderkey, written, current, CASE WHEN NOT starts_with(first, '084') THEN '' WHEN contains(w, 'cerebral') THEN first WHEN contains(w, 'benign') AND contains(w, 'malig') THEN '084.5'
-  WHEN contains(w, 'benign') OR contains(w, 'b.t.') THEN '084.1' WHEN contains(w, 'malig') OR contains(w, 'm.t.') THEN '084.0' WHEN contains(w, 'quartan') THEN '084.2' WHEN first = '084.9' THEN '084.6' ELSE first END AS code FROM f"""
-
-_SEEN = _of("o_orderkey", "Observed for Typhoid negative", "In obs. for Typhoid", "No sign of Typhoid", "observation", "Obs. for Typhoid. Megacolon", "obs for pyrexia", "Suspected Typhoid", "suspected typhoid neg.", None, "Measles | observation")
-
-
-def observation_codes(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, written=_SEEN).withColumn("code", rules.observation_code(F.col("written")))
-
-
-OBSERVATION_CODES = f"SELECT o_orderkey, {_SEEN} AS written, {_of('o_orderkey', 'V71.89', 'V71.89', 'V71.89', 'V71.9', '', '', '', 'V71.89', '', '')} AS code FROM orders"
-
-_PLACE = _of("o_orderkey", "|| el-Tira", "Haifa  Port.", "KAWASSA", "es Salt?", "", None, "acre")
-_NAMES = {"tira": "Tira", "kawassa": "Hawassa", "acre": "Akko"}
-
-
-def place_names(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, city=_PLACE).withColumn("clean", rules.place_name(F.col("city"), _NAMES))
-
-
-PLACE_NAMES = f"""
-WITH c AS (SELECT o_orderkey, {_PLACE} AS city FROM orders), n AS (SELECT *, regexp_replace(trim(regexp_replace(trim(city), '(?i)^\\|+\\s*|^(?:el|al|ed|es)[\\s-]+|[.?]+$', '', 'g')), '\\s{{2,}}', ' ', 'g') AS p FROM c)
-SELECT o_orderkey, city, CASE lower(p) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items())} ELSE p END AS clean FROM n"""
-
-_NATION = _of("o_orderkey", "Palest. O", "British C/E", 'Polish "K."', "O", "Greek  gr", "Syrian c k", None)
-
-
-def trailing_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, read=_NATION).withColumn("nation", rules.without_trailing(F.col("read")))
-
-
-TRAILING_TOKENS = f"SELECT o_orderkey, {_NATION} AS read, {_of('o_orderkey', 'Palest.', 'British', 'Polish', 'O', 'Greek', 'Syrian', None)} AS nation FROM orders"
-
-_FLAGS = _of("o_orderkey", "camp|birth", "births", "camp | staff", "", None, "staff")
-
-
-def flag_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Admissions: rows without these flags, as whole tokens; what is dropped is counted."""
-    c = _cells(spark, d, flags=_FLAGS)
-    admission = ~rules.has_flag(F.col("flags"), "birth") & ~rules.has_flag(F.col("flags"), "staff")
-    return c.groupBy("flags").agg(F.count_if(admission).alias("kept"), F.count_if(~admission).alias("dropped"))
-
-
-FLAG_TOKENS = f"""
-WITH c AS (SELECT {_FLAGS} AS flags FROM orders), t AS (SELECT flags, list_transform(string_split(coalesce(flags, ''), '|'), lambda x: trim(x)) AS l FROM c)
-SELECT flags, count(*) FILTER (NOT list_contains(l, 'birth') AND NOT list_contains(l, 'staff')) AS kept, count(*) FILTER (list_contains(l, 'birth') OR list_contains(l, 'staff')) AS dropped FROM t GROUP BY 1"""
-
-_CELL = _of("o_orderkey", "Fever", " ", "Fever?", None)
-
-
-def status_column(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, cell=_CELL).groupBy(rules.status(F.col("cell")).alias("status")).agg(F.count("*").alias("n"))
-
-
-STATUS_COLUMN = f"SELECT CASE WHEN trim(coalesce(c, '')) = '' THEN 'absent' WHEN contains(c, '?') THEN 'doubtful' ELSE 'recorded' END AS status, count(*) AS n FROM (SELECT {_CELL} AS c FROM orders) GROUP BY 1"
-
 _GROUPS = ((("1-URGENT", "2-HIGH"), ("F",), "pressed and done"), (("1-URGENT", "2-HIGH"), (), "pressed"), ((), ("F",), "done"))
 
 
@@ -112,69 +23,6 @@ CROSSED_GROUPS = """
 WITH g AS (SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN CASE WHEN o_orderstatus = 'F' THEN 'pressed and done' ELSE 'pressed' END WHEN o_orderstatus = 'F' THEN 'done' ELSE 'other' END AS value, o_totalprice > 300000 AS hit FROM orders)
 SELECT value, count(*) AS n, count(*) FILTER (hit) AS hits, CASE WHEN count(*) >= 100 THEN round(count(*) FILTER (hit)::DOUBLE / count(*), 9) END AS rate FROM g GROUP BY 1"""
 
-_ODD = _of("o_orderkey", "Qirját  Šmona", "ÉL-Árish", "Nº ٣٥", "Haïfa", None)
-
-
-def folded_texts(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, raw=_ODD).withColumn("plain", rules.folded(F.col("raw")))
-
-
-FOLDED_TEXTS = f"""
-WITH c AS (SELECT o_orderkey, {_ODD} AS raw FROM orders)
-SELECT o_orderkey, raw, trim(regexp_replace(translate(lower(raw), 'áàâäéèêëíìîïóòôöúùûüñç٠١٢٣٤٥٦٧٨٩', 'aaaaeeeeiiiioooouuuunc0123456789'), '[^a-z0-9]+', ' ', 'g')) AS plain FROM c"""
-
-_RANGE = _of("o_orderkey", "1938", "1938-02", "1936-02-29", "6.7.1938", "1938-13", "soon", None)
-
-
-def written_ranges(spark: SparkSession, d: str) -> DataFrame:
-    first, last = rules.written_range(F.col("said"))
-    return _cells(spark, d, said=_RANGE).withColumns({"first": first, "last": last})
-
-
-WRITTEN_RANGES = f"""SELECT o_orderkey, {_RANGE} AS said, ({_of("o_orderkey", "1938-01-01", "1938-02-01", "1936-02-29", "1938-07-06", None, None, None)})::DATE AS "first", ({_of("o_orderkey", "1938-12-31", "1938-02-28", "1936-02-29", "1938-07-06", None, None, None)})::DATE AS "last" FROM orders"""
-
-_DAY = _of("o_orderkey", "4 March 1938", "31. april 1938", "29 FEBRUARY 1936", "Thursday", None)
-
-
-def month_names(spark: SparkSession, d: str) -> DataFrame:
-    return _cells(spark, d, said=_DAY).withColumn("day", rules.month_name_date(F.col("said")))
-
-
-MONTH_NAMES = f"SELECT o_orderkey, {_DAY} AS said, ({_of('o_orderkey', '1938-03-04', None, '1936-02-29', None, None)})::DATE AS day FROM orders"
-
-
-def twin_dates(spark: SparkSession, d: str) -> DataFrame:
-    """The day again from a written twin, a locked one first, the given one where the twin can't be read."""
-    rows = orders(spark, d).select("o_orderkey", "day", F.expr("CASE WHEN o_orderkey % 4 = 0 THEN 'illegible' ELSE date_format(date_add(day, 1), 'dd.MM.yyyy') END").alias("twin"))
-    locked = F.when(F.col("o_orderkey") % 10 == 0, F.lit("1995-05-05").cast("date"))
-    return rows.withColumn("rebuilt", rules.twin_date(F.try_to_date("twin", "dd.MM.yyyy"), F.col("day"), locked)).select("o_orderkey", "rebuilt")
-
-
-TWIN_DATES = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN DATE '1995-05-05' WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE ELSE o_orderdate::DATE + 1 END AS rebuilt FROM orders"
-
-_OWN, _WRONG, _TWICE = _of("o_orderkey", "ward 1", "unknown", None), _of("o_orderkey", "ward 2", "Jaffa"), _of("o_orderkey", None, "ward 3", "x", None, "ward 1")
-
-
-def misfiled_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = _cells(spark, d, own=_OWN, wrong=_WRONG, twice=_TWICE)
-    return rows.withColumn("seated", rules.reseated(F.col("own"), F.col("wrong"), F.col("twice"), ("ward 1", "ward 2", "ward 3")))
-
-
-MISFILED_VALUES = f"""
-WITH c AS (SELECT o_orderkey, {_OWN} AS own, {_WRONG} AS wrong, {_TWICE} AS twice FROM orders)
-SELECT *, CASE WHEN own LIKE 'ward _' THEN own WHEN twice LIKE 'ward _' THEN twice WHEN wrong LIKE 'ward _' THEN wrong END AS seated FROM c"""
-
-_WARD = _of("o_orderkey", "pav. B", "Pavilion", "ward 3", None)
-
-
-def gated_reading(spark: SparkSession, d: str) -> DataFrame:
-    rows = orders(spark, d).select("o_orderkey", "day", F.expr(_WARD).alias("ward"), "o_orderstatus")
-    return rows.select("o_orderkey", rules.gated(F.col("ward"), F.col("day"), "1995-01-01", "pav. ([A-D])", F.col("o_orderstatus") == "F").alias("ward"))
-
-
-GATED_READING = f"SELECT o_orderkey, CASE WHEN o_orderdate::DATE >= DATE '1995-01-01' AND o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN 'B' ELSE {_WARD} END AS ward FROM orders"
-
-
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     before = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.expr("nullif(o_orderstatus, 'P')").alias("status"), F.col("o_orderpriority").alias("priority"))
     after = before.withColumn("status", F.expr("CASE WHEN status IS NULL THEN 'O' WHEN o_orderkey % 50 = 0 THEN NULL ELSE status END")).withColumn("priority", F.expr("CASE WHEN o_orderkey % 20 = 1 THEN '9-NONE' ELSE priority END"))
@@ -238,19 +86,6 @@ BED_DAYS = """
 WITH s AS (SELECT l_returnflag, o_orderdate::DATE AS a, l_shipdate::DATE - o_orderdate::DATE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT l_returnflag, count(*) AS stays, sum(n)::BIGINT AS bed_days, max(a) - min(a) + 1 AS days, round(sum(n) / ((max(a) - min(a) + 1) * 50)::DOUBLE, 9) AS occupancy FROM s WHERE n >= 0 AND n < 400 GROUP BY 1"""
 
-_SUM = _of("o_orderkey", "12", "-", "", "1,200", None, "ill.")
-
-
-def stocks_flows(spark: SparkSession, d: str) -> DataFrame:
-    return curation.stock_flow(table(spark, d, "orders").select("o_orderpriority", F.expr(_SUM).alias("cell")), "o_orderpriority", "cell")
-
-
-STOCKS_FLOWS = f"""
-WITH c AS (SELECT o_orderpriority, {_SUM} AS cell FROM orders)
-SELECT o_orderpriority, sum(CASE WHEN cell = '-' THEN 0 ELSE try_cast(replace(cell, ',', '') AS BIGINT) END)::BIGINT AS total, count(try_cast(replace(cell, ',', '') AS BIGINT)) AS numbers,
-  count(*) FILTER (cell = '-') AS dashes, count(*) FILTER (coalesce(cell, '') = '') AS blanks FROM c GROUP BY 1"""
-
-
 def carried_headings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey DIV 250").alias("book"), "o_orderpriority")
     head, line = F.when(F.col("o_orderkey") % 40 == 3, F.col("o_orderpriority")), F.when(F.col("o_orderkey") % 5 == 1, F.col("o_orderkey"))
@@ -340,21 +175,6 @@ TWO_SOURCES = """
 WITH n AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1), s AS (SELECT o_orderpriority, a::DOUBLE / sum(a) OVER () AS x, b::DOUBLE / sum(b) OVER () AS y FROM n)
 SELECT o_orderpriority, round(x, 9) AS share_a, round(y, 9) AS share_b, abs(x - y) <= 0.005 AS agree FROM s"""
 
-_ADDRESS = _of("o_orderkey", "Acre Street, Haifa", "Haifa, Jaffa", "near Haifa district Safad district Acre", "Jaffa", None)
-_HOME = {"Haifa": "Haifa", "Jaffa": "Lydda"}
-
-
-def places_in_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """The single place of an address, the last district marked in it, and what the two say together."""
-    rows = _cells(spark, d, address=_ADDRESS).withColumn("place", curation.single_place(F.col("address"), ["Haifa", "Jaffa", "Acre Street"])).withColumn("district", curation.last_marked(F.col("address"), "district (\\w+)"))
-    own = F.when(F.col("o_orderkey") % 2 == 0, "Acre").otherwise("Haifa")
-    return rows.withColumn("verdict", curation.district_verdict(F.col("district"), own, F.array(F.lit("Acre"), F.lit("Gaza"))))
-
-
-PLACES_IN_ADDRESSES = f"""
-SELECT o_orderkey, {_ADDRESS} AS address, {_of("o_orderkey", "Haifa", None, None, "Jaffa", None)} AS place, CASE WHEN o_orderkey % 5 = 2 THEN 'Acre' END AS district,
-  CASE WHEN o_orderkey % 5 <> 2 THEN 'absent' WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'homonym' END AS verdict FROM orders"""
-
 _SPELL = "CASE WHEN o_orderkey % 7 = 0 THEN upper(o_clerk) WHEN o_orderkey % 7 < 3 THEN concat(o_clerk, '.') ELSE o_clerk END"
 
 
@@ -402,9 +222,8 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 G
 QUERIES = {
     f.__name__: f
     for f in (
-        typhus_codes, malaria_codes, observation_codes, place_names, trailing_tokens, flag_tokens, status_column, crossed_groups, folded_texts, written_ranges, month_names, twin_dates, misfiled_values,
-        gated_reading, audit_report, correction_deltas, rare_values, page_states, distinct_per_group, bed_days, stocks_flows, carried_headings, span_seats, serial_witness, cases_around, uncovered_months,
-        merged_entities, span_conflicts, two_sources, places_in_addresses, canonical_spellings, value_decisions, work_queue, why_unmapped,
+        crossed_groups, audit_report, correction_deltas, rare_values, page_states, distinct_per_group, bed_days, carried_headings, span_seats, serial_witness, cases_around, uncovered_months,
+        merged_entities, span_conflicts, two_sources, canonical_spellings, value_decisions, work_queue, why_unmapped,
     )
 }
 SQL = {name: globals()[name.upper()] for name in QUERIES}
