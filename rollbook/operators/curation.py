@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def audit(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(column, from, to, records): the changes of cells between two states of a table, equal ones counted."""
+    """(kind, column, from, to, records): the changes of cells between two states of a table, equal ones counted, the most frequent first.
+
+    kind: filled, cleared or changed. Rows of equal records are ordered by column, from and to."""
     pair = lambda c: F.struct(F.lit(c).alias("column"), F.col(f"b.`{c}`").cast("string").alias("from"), F.col(f"a.`{c}`").cast("string").alias("to"))
     both = before.alias("b").join(after.alias("a"), key).select(F.inline(F.filter(F.array(*map(pair, columns)), lambda x: ~x["from"].eqNullSafe(x["to"]))))
-    return both.groupBy("column", "from", "to").agg(F.count("*").alias("records"))
+    kind = F.when(F.col("from").isNull(), "filled").when(F.col("to").isNull(), "cleared").otherwise("changed")
+    return both.groupBy(kind.alias("kind"), "column", "from", "to").agg(F.count("*").alias("records")).orderBy(F.desc("records"), "column", "from", "to")
 
 
 def correction_deltas(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str], group: Column) -> DataFrame:
@@ -124,9 +127,12 @@ def two_sources(a: DataFrame, b: DataFrame, group: str, tolerance: float) -> Dat
     return both.withColumn("agree", F.abs(F.col("share_a") - F.col("share_b")) <= tolerance)
 
 
-def district_verdict(written: Column, own: Column, others: Column) -> Column:
-    """What the district written beside a place says of the place's own: ok, absent, homonym (a place of the name lies there) or mismatch."""
-    return F.when(written.isNull(), "absent").when(written == own, "ok").when(F.array_contains(others, written), "homonym").otherwise("mismatch")
+def district_verdict(written: Column, own: Column, others: Column, sources: Column | None = None) -> Column:
+    """What the district written beside a place says of the place's own: ok, absent, homonym (a place of the name lies there) or mismatch.
+
+    sources: the districts that other sources give the place; where these do not agree it is a source conflict, whatever is written."""
+    said = F.lit(0) if sources is None else F.size(F.array_distinct(F.filter(sources, lambda x: x.isNotNull())))
+    return F.when(said > 1, "source conflict").when(written.isNull(), "absent").when(written == own, "ok").when(F.array_contains(others, written), "homonym").otherwise("mismatch")
 
 
 def last_marked(c: Column, pattern: str) -> Column:

@@ -41,7 +41,7 @@ def audit_report(spark: SparkSession, d: str) -> DataFrame:
 AUDIT_REPORT = (
     _STATES
     + """, u AS (SELECT 'status' AS "column", s AS "from", s2 AS "to" FROM t UNION ALL SELECT 'priority', p, p2 FROM t)
-SELECT "column", "from", "to", count(*) AS records FROM u WHERE "from" IS DISTINCT FROM "to" GROUP BY 1, 2, 3"""
+SELECT CASE WHEN "from" IS NULL THEN 'filled' WHEN "to" IS NULL THEN 'cleared' ELSE 'changed' END AS kind, "column", "from", "to", count(*) AS records FROM u WHERE "from" IS DISTINCT FROM "to" GROUP BY 1, 2, 3, 4"""
 )
 
 

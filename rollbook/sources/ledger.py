@@ -93,6 +93,14 @@ def base_view(df: DataFrame, left_out: Mapping[str, Sequence[str]]) -> tuple[Dat
     return told.where("_reason IS NULL").drop("_reason"), dropped
 
 
+def clean_header(df: DataFrame) -> DataFrame:
+    """df with its columns' names without a byte order mark, quotes and spaces around; two of one name are an error."""
+    names = [c.lstrip("\ufeff").strip().strip('"').strip() for c in df.columns]
+    if len(set(names)) != len(names):
+        raise ValueError(f"columns collide: {sorted({c for c in names if names.count(c) > 1})}")
+    return df.toDF(*names)
+
+
 def typed(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """Trimmed cells, empty ones null, rows without any cell left out; the named columns as their types, null where a cell is none."""
     cells = [F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in df.columns]
