@@ -123,10 +123,13 @@ class Weights:
         self.slots = np.zeros((KINDS, ROWS * CLASSES, SLOTS), np.float32)
 
     def logits(self, f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.class_bias + self.classes[0][f[:, 0]], self.slot_bias[c] + self.slots[0][f[:, 0] * CLASSES + c]
+        # take() copies whole rows; an index in brackets goes by single numbers.
+        a, b = self.classes[0].take(f[:, 0], 0), self.slots[0].take(f[:, 0] * CLASSES + c, 0)
+        a += self.class_bias
+        b += self.slot_bias.take(c, 0)
         for k in range(1, KINDS):
-            a += self.classes[k][f[:, k]]
-            b += self.slots[k][f[:, k] * CLASSES + c]
+            a += self.classes[k].take(f[:, k], 0)
+            b += self.slots[k].take(f[:, k] * CLASSES + c, 0)
         return a, b
 
     def log10_slot(self, f: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -142,25 +145,42 @@ class Weights:
         c, s = slot // SLOTS, slot % SLOTS
         a, b = self.logits(f, c)
         at = np.arange(len(slot))
+        grads = []
         for x, y in ((a, c), (b, s)):
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            x /= -x.sum(axis=1, keepdims=True)
-            x[at, y] += 1
+            p, total, _ = _exp(x)
+            p *= (-1 / total)[:, None]
+            p[at, y] += 1
+            grads.append(p)
+        a, b = grads
         for k in range(KINDS):
-            for w, norm, grad, row in ((self.classes[k], norms[k], a, f[:, k]), (self.slots[k], norms[KINDS + k], b, f[:, k] * CLASSES + c)):
-                order = np.argsort(row.astype(ROW_TYPE), kind="stable")
-                ordered = row[order]
+            # In the order of feature and class both kinds of rows stand together: one sort for the two.
+            row = f[:, k] * CLASSES + c
+            order = np.argsort(row.astype(ROW_TYPE), kind="stable")
+            row = row.take(order)
+            for w, norm, grad, ordered in ((self.classes[k], norms[k], a, row // CLASSES), (self.slots[k], norms[KINDS + k], b, row)):
                 begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                rows = ordered[begin]
-                g = np.add.reduceat(grad[order], begin, axis=0)
-                norm[rows] += (g * g).sum(axis=1)
-                w[rows] += RATE * g / np.sqrt(norm[rows] + 1.0)[:, None] * np.float32(2.0)
+                rows = ordered.take(begin)
+                g = np.add.reduceat(grad.take(order, 0), begin, axis=0)
+                norm[rows] += (g * g) @ np.ones(g.shape[1], np.float32)
+                w[rows] += g * (np.float32(2 * RATE) / np.sqrt(norm[rows] + 1.0))[:, None]
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - top), its sums by row, and top: 0, or each row's greatest where the plain numbers are too large or small for singles."""
+    one, top = np.ones(x.shape[1], np.float32), 0.0
+    with np.errstate(over="ignore"):
+        p = np.exp(x)
+        total = p @ one
+    if len(total) and not (total.min() > 1e-30 and total.max() < 1e30):
+        top = x.max(axis=1)
+        p = np.exp(x - top[:, None])
+        total = p @ one
+    return p, total, top
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    _, total, top = _exp(x)
+    return np.log(total) + top
 
 
 def _run(texts: list[bytes | None], lexicon: Lexicon):

@@ -273,6 +273,27 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "c", "n", "ids"])
 
 
+class _Numbers(dict):
+    """Numbers what it is asked for, in order."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class _Grown:
+    """Whole numbers that are appended to; room is doubled, so that no number is copied more than twice or so."""
+
+    def __init__(self) -> None:
+        self.room, self.used = np.empty(1024, np.int64), 0
+
+    def append(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.used], np.empty(max(self.used, 2 * len(more)), np.int64)])
+        self.room[self.used : self.used + len(more)] = more
+        self.used += len(more)
+
+
 class _Chunks:
     """What a task knows of the chunks it has met: their words, as ranks of frequent words, or below 0 as numbers of others."""
 
@@ -282,19 +303,19 @@ class _Chunks:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.begins, self.counts, self.flat = (np.empty(0, np.int64) for _ in range(3))
+        self.index = _Numbers()
+        self.begins, self.counts, self.flat = _Grown(), _Grown(), _Grown()
         self.others: list[str] = []
 
     def look(self, texts: list[str | None]) -> list[np.ndarray]:
         """The chunks of each text, by number."""
         if len(self.index) > HELD:
             self.clear()
-        old, number = len(self.index), self.index.setdefault
+        old, number = len(self.index), self.index.__getitem__
         order = []
         for text in texts:
             chunks = chunks_of(text, self.find)
-            order.append(np.fromiter([number(c, len(self.index)) for c in chunks], np.int64, len(chunks)))
+            order.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
         words, per = [], []
         for chunk in islice(self.index, old, None):
             found = words_of(chunk, self.find)
@@ -311,16 +332,18 @@ class _Chunks:
             value[other] = -1 - len(self.others) - np.arange(len(other))
             self.others += [names[i] for i in other.tolist()]
             n = np.array(per, np.int64)
-            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(n) - n])
-            self.counts = np.concatenate([self.counts, n])
-            self.flat = np.concatenate([self.flat, value])
+            self.begins.append(self.flat.used + np.cumsum(n) - n)
+            self.counts.append(n)
+            self.flat.append(value)
         return order
 
 
 def _gather(flat: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
     """n entries of flat from each of begins on, end to end."""
     ends = np.cumsum(n)
-    return flat[np.repeat(begins - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    at = np.repeat(begins - (ends - n), n)
+    at += np.arange(len(at))
+    return flat.take(at)
 
 
 def _begin(pieces: Pieces, at: int, held: list[int], shared):
@@ -337,8 +360,8 @@ def _begin(pieces: Pieces, at: int, held: list[int], shared):
                 texts = batch.column(at).to_pylist()
                 order = chunks.look(texts)
                 every = np.concatenate(order)
-                n = chunks.counts[every]
-                words = _gather(chunks.flat, chunks.begins[every], n)
+                n = chunks.counts.room.take(every)
+                words = _gather(chunks.flat.room, chunks.begins.room.take(every), n)
                 stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(o) for o in order])])]
                 other = words < 0
                 which, place = np.unique(-1 - words[other], return_inverse=True)
@@ -458,9 +481,11 @@ def _decoder(pieces: Pieces):
 
     def run(ids: np.ndarray, stops: np.ndarray) -> list[str]:
         ids = ids.astype(np.int64)
-        n = lengths[ids]
+        n = lengths.take(ids)
         ends = np.cumsum(n)
-        whole = flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        from_ = np.repeat(starts.take(ids) - (ends - n), n)
+        from_ += np.arange(len(from_))
+        whole = flat.take(from_).tobytes()
         at = np.concatenate([[0], ends])[stops]
         parts = (whole[a:z].replace(mark, b" ") for a, z in zip(at, at[1:], strict=False))
         return [(b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in parts]
