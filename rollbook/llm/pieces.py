@@ -8,7 +8,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,8 @@ def load_pieces(path: str = MODEL) -> Pieces:
     alone = {n for n, _, _ in rows if len(n) == 1} - joined - signs - {SPACE}
     of, one = ("".join(re.escape(c) for c in sorted(x)) for x in (signs, alone))
     pattern = f"{SPACE}*[^{of}{one}{SPACE}]+|{SPACE}*[{of}]+|{SPACE}+" + (f"|[{one}]" if one else "")
+    if not re.fullmatch(f"{SPACE}*[^{of}{one}{SPACE}]+", SPACE + string.ascii_letters):
+        raise ValueError("a letter is cut from its neighbours")
     return Pieces(rows, byte_id, max(len(n) for n, _, _ in rows), pattern, names)
 
 
@@ -118,6 +120,8 @@ def chunks_of(text: str | None, find) -> list[str]:
 
 
 def words_of(chunk: str, find) -> list[str]:
+    if chunk.isalpha() and chunk.isascii():  # never cut, see load_pieces
+        return [SPACE + chunk]
     return [chunk[1:]] if chunk[:1] == SPACE else find(SPACE + chunk)
 
 
@@ -237,7 +241,7 @@ def lattice(slices: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
 def _digest(text: str | None) -> bytes:
@@ -316,13 +320,10 @@ class _Chunks:
         for text in texts:
             chunks = chunks_of(text, self.find)
             order.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
-        words, per = [], []
-        for chunk in islice(self.index, old, None):
-            found = words_of(chunk, self.find)
-            words += found
-            per.append(len(found))
-        if per:
-            names = [key_of(w) for w in words]
+        found = [words_of(chunk, self.find) for chunk in islice(self.index, old, None)]
+        if found:
+            per = list(map(len, found))
+            names = [w if len(w) <= LONG else key_of(w) for w in chain.from_iterable(found)]
             h = _hashes(names)
             value = np.full(len(h), -1, np.int64)
             if len(self.keys):
