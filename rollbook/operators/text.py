@@ -100,9 +100,9 @@ def longest_spans(spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def transfers(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str]], noise: str) -> DataFrame:
-    """(key, segment, label): the segments of a remark (parted by ; or |) by the first rule that matches; noise and unmatched ones go."""
+def transfers(df: DataFrame, key: str, text: str, rules: Sequence[tuple[str, str]], noise: str, split: str = r"\s*[;|]\s*") -> DataFrame:
+    """(key, segment, label): the segments of a remark (parted by ; or |, or as split says) by the first rule that matches; noise and unmatched ones go."""
     from ..functions.cells import first_match
 
-    rows = df.select(key, F.posexplode(F.split(F.col(text), r"\s*[;|]\s*")).alias("segment", "part"))
+    rows = df.select(key, F.posexplode(F.split(F.col(text), split)).alias("segment", "part"))
     return rows.where(~F.col("part").rlike(noise)).withColumn("label", first_match(F.col("part"), rules)).where("label IS NOT NULL").select(key, "segment", "label")

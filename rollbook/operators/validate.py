@@ -47,6 +47,18 @@ def conflicts(df: DataFrame, key: str, target: str) -> DataFrame:
     return out.where("targets <> 1")
 
 
+def all_decided(values: DataFrame, decisions: DataFrame, value: str, target: str) -> DataFrame:
+    """values with the target that was decided for each value. A value that has no decision, or several different ones, stops the query, and the error names it.
+
+    Null and empty values need none: their target is null. Decisions are made unique first, so no row of values is doubled.
+    """
+    one = decisions.groupBy(value).agg(F.min(target).alias(target), F.count_distinct(target).alias("_targets"))
+    said = F.concat(F.lit("no single decision for "), F.col(value).cast("string"))
+    blank = F.col(value).isNull() | (F.trim(F.col(value).cast("string")) == "")
+    settled = F.when(blank, F.lit(None)).when(F.col("_targets") == 1, F.col(target)).otherwise(F.raise_error(said).cast(one.schema[target].dataType))
+    return values.join(one, value, "left").select(*(F.col(f"`{c}`") for c in values.columns), settled.alias(target))
+
+
 def diff(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """(key, column, was, now, verdict): cells that differ between two tables, and rows that one of them lacks."""
     a = left.select(key, *(F.col(c).cast("string").alias(f"a_{c}") for c in columns), F.lit(True).alias("in_a"))
