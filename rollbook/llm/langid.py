@@ -29,10 +29,14 @@ WINDOW = 1024
 def training_texts(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     """(lang, text) of a bounded sample of the labelled rows of every language: TRAIN_DOCS texts and TRAIN_CHARS characters, one text at least."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    size = F.length("text")
+    long, h = F.length("text") > TRAIN_CHARS, F.xxhash64("text")
+    # Which texts: found from hashes alone, so that no text is shuffled that isn't taken. A language has TRAIN_DOCS of them at most.
+    first = W.partitionBy("lang").orderBy("long", "h")
+    told = rows.select("lang", long.alias("long"), h.alias("h")).distinct().withColumn("k", F.row_number().over(first)).where(f"k <= {TRAIN_DOCS}").select("lang", "h")
+    taken = rows.withColumn("h", h).join(F.broadcast(told), ["lang", "h"], "left_semi")
     # The head of a longer text begins with its first letter.
     head = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, TRAIN_CHARS)
-    cut = rows.select("lang", F.when(size > TRAIN_CHARS, head).otherwise(F.col("text")).alias("text"), F.xxhash64("text").alias("h"), (size > TRAIN_CHARS).alias("long"))
+    cut = taken.select("lang", F.when(long, head).otherwise(F.col("text")).alias("text"), "h", long.alias("long"))
     first = W.partitionBy("lang").orderBy("long", "h", "text")
     picked = cut.distinct().withColumn("k", F.row_number().over(first)).where(f"k <= {TRAIN_DOCS}")
     picked = picked.withColumn("chars", F.sum(F.length("text")).over(first.rowsBetween(W.unboundedPreceding, W.currentRow))).where(f"k = 1 OR chars <= {TRAIN_CHARS}")
