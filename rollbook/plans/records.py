@@ -368,7 +368,8 @@ SELECT doc_id, CASE WHEN NOT t THEN 'no term' WHEN h AND o THEN 'mixed' WHEN h T
 
 def nearest_term_distance(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("text", " ")
-    return table(spark, d, "documents").select("doc_id", text.nearest_distance(words, "was", "from").alias("distance")).where("distance IS NOT NULL")
+    both = F.col("text").contains("was") & F.col("text").contains("from")  # other texts have no distance, and are not folded
+    return table(spark, d, "documents").where(both).select("doc_id", text.nearest_distance(words, "was", "from").alias("distance")).where("distance IS NOT NULL")
 
 
 NEAREST_TERM_DISTANCE = """
