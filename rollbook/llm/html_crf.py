@@ -51,41 +51,63 @@ def _names(attrs: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(found)), label
 
 
+class Place:
+    """An open block element of a page: the element around it, the features it is the first to bring, and those of its own."""
+
+    __slots__ = ("around", "fresh", "own")
+
+    def __init__(self, around: "Place | None", fresh: tuple[str, ...], own: tuple[str, ...]):
+        self.around, self.fresh, self.own = around, fresh, own
+
+
 def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
     """(path, text, share of the text in links, label) of each block of a page, in page order.
 
-    A block is the text between two tags of block elements; inline elements stay inside. The path holds the open block
-    elements, outermost first, each as (tag, name words); of equal ones outside the innermost two only the first, so that a
-    block deep inside others shares their path and does not copy it. The text of a hidden element is dropped at its end tag; one that is
-    not closed before the element around it hides nothing. References are decoded, white space is one space.
+    A block is the text between two tags of block elements; inline elements stay inside. The path is (place,) of the innermost
+    open block element, () outside of all; a place points at the one around it, so that pages of any depth cost their length.
+    The text of a hidden element is dropped at its end tag; one that is not closed before the element around it hides
+    nothing. References are decoded, white space is one space.
     """
     out: list[tuple[tuple, str, float, str | None]] = []
     if not page:
         return out
-    #: Open block elements: tag, name words, the label that holds in it, and the distinct elements up to it.
-    stack: list[tuple[str, tuple[str, ...], str | None, tuple]] = []
+    #: Open block elements: tag, name words, the label that holds in it, and its place.
+    stack: list[tuple[str, tuple[str, ...], str | None, Place]] = []
     opened: Counter = Counter()
+    #: The text of the block begins at begun; what is before it is kept while a hidden element is open, which may give it back.
     text: list[str] = []
+    begun = 0
     linked = [0]
     in_link = 0
-    #: Open hidden elements: tag, open elements around it, and blocks, text and links before it.
-    hidden: list[tuple[str, int, int, list[str], int, int]] = []
+    #: Open hidden elements: tag, open elements around it, and blocks, text, begin of the block, and links before it.
+    hidden: list[tuple[str, int, int, int, int, int, int]] = []
+    covered: Counter = Counter()
     pos, n = 0, len(page)
 
     def flush() -> None:
-        if text:
-            words = " ".join(_html.unescape("".join(text)).split())
+        nonlocal begun
+        if len(text) > begun:
+            words = " ".join(_html.unescape("".join(text[begun:])).split())
             if words:
-                path = (stack[-3][3] if len(stack) > 2 else ()) + tuple(x[:2] for x in stack[-2:])
-                out.append((path, words, min(1.0, linked[0] / len(words)), stack[-1][2] if stack else None))
+                path, label = ((stack[-1][3],), stack[-1][2]) if stack else ((), None)
+                out.append((path, words, min(1.0, linked[0] / len(words)), label))
+        if not hidden:
             text.clear()
+        begun = len(text)
         linked[0] = 0
 
     def close(depth: int) -> None:
         for entry in stack[depth:]:
-            opened[entry[0]] -= 1
+            opened["in " + entry[0]] -= 1
+            for w in entry[1]:
+                opened["name " + w] -= 1
         del stack[depth:]
 
+    def uncover(k: int) -> None:
+        for entry in hidden[k:]:
+            covered[entry[0]] -= 1
+        del hidden[k:]
+
     while pos < n:
         m = TOKEN.match(page, pos)
         if m is None:
@@ -104,23 +126,26 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
             if tag == "a":
                 in_link = 0
             elif tag in HIDDEN:
-                for k in range(len(hidden) - 1, -1, -1):
+                for k in range(len(hidden) - 1, -1, -1) if covered[tag] else ():
                     if hidden[k][0] == tag:
-                        _, depth, blocks, before, linked[0], in_link = hidden[k]
-                        del out[blocks:], hidden[k:]
+                        _, depth, blocks, end, begun, linked[0], in_link = hidden[k]
+                        uncover(k)
                         close(depth)
-                        text[:] = [*before, " "]
+                        del out[blocks:]
+                        text[end:] = [" "]
                         break
             elif tag not in INLINE:
                 flush()
-                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
+                for k in range(len(stack) - 1, -1, -1) if opened["in " + tag] else ():
                     if stack[k][0] == tag:
                         close(k)
                         in_link = 0
-                        hidden = [h for h in hidden if h[1] <= k]
+                        # Hidden elements lie in one another, so those inside what is closed are the last.
+                        while hidden and hidden[-1][1] > k:
+                            uncover(len(hidden) - 1)
                         break
             continue
-        foreign = tag in ("svg", "math") or any(h[0] == "svg" for h in hidden)
+        foreign = tag in ("svg", "math") or covered["svg"] > 0
         if foreign and (m["attrs"] or m["attrs2"] or "").endswith("/"):
             text.append(" ")
             continue
@@ -130,7 +155,8 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
             text.append(" ")
             continue
         if tag in HIDDEN:
-            hidden.append((tag, len(stack), len(out), list(text), linked[0], in_link))
+            hidden.append((tag, len(stack), len(out), len(text), begun, linked[0], in_link))
+            covered[tag] += 1
             text.append(" ")
             continue
         if tag in INLINE:
@@ -148,26 +174,30 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, float, str | None]]:
         if tag not in VOID and tag not in ("html", "body", "head"):
             names, label = _names(m["attrs"] or m["attrs2"] or "")
             label = stack[-1][2] if label is None and stack else label
-            around = stack[-1][3] if stack else ()
-            stack.append((tag, names, label, around if (tag, names) in around else (*around, (tag, names))))
-            opened[tag] += 1
+            brings = ("in " + tag, *("name " + w for w in names))
+            fresh = tuple(f for f in brings if not opened[f])
+            opened.update(brings)
+            named = bool(names) or bool(stack) and stack[-1][3].own[-1] == "named"
+            pair = f"{stack[-1][0]}/{tag}" if stack else tag
+            own = (*("own " + w for w in names), f"tag {tag}", f"tags {pair}", "named" if named else "unnamed")
+            stack.append((tag, names, label, Place(stack[-1][3] if stack else None, fresh, own)))
     flush()
     return out
 
 
+#: Features of a block outside of all block elements.
+NOWHERE = ("in none", "tag none", "tags none", "unnamed")
+
+
 def path_features(path: tuple) -> tuple[str, ...]:
-    """Features of the ancestors: their tags and name words, the innermost two tags, the depth."""
-    tags = [t for t, _ in path] or ["none"]
-    names = [w for _, c in path for w in c]
-    own = path[-1][1] if path else ()
-    return (
-        *dict.fromkeys(f"in {t}" for t in tags),
-        *dict.fromkeys(f"name {w}" for w in names),
-        *(f"own {w}" for w in own),
-        f"tag {tags[-1]}",
-        f"tags {'/'.join(tags[-2:])}",
-        "named" if names else "unnamed",
-    )
+    """Features of the ancestors: their tags and name words, the innermost element's words, tag and two tags, and if any is named."""
+    if not path:
+        return NOWHERE
+    chain, place = [], path[0]
+    while place is not None:
+        chain.append(place.fresh)
+        place = place.around
+    return (*(f for fresh in reversed(chain) for f in fresh), *path[0].own)
 
 
 def text_features(text: str, linked: float) -> tuple[str, ...]:
@@ -185,30 +215,33 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray, first: np.ndarray):
         self.index, self.emit, self.move, self.first = index, emit, move, first
-        self.paths: dict[tuple, np.ndarray] = {}
-        self.texts: dict[tuple, np.ndarray] = {}
+        self.sums: dict[tuple[str, ...], np.ndarray] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "paths": {}, "texts": {}}
+        return {**self.__dict__, "sums": {}}
 
     def _sum(self, names: tuple[str, ...]) -> np.ndarray:
-        ids = [self.index[f] for f in names if f in self.index]
-        return self.emit[ids].sum(axis=0) if ids else np.zeros(2)
+        found = self.sums.get(names)
+        if found is None:
+            if len(self.sums) > 50_000:
+                self.sums.clear()
+            ids = [self.index[f] for f in names if f in self.index]
+            found = self.sums[names] = self.emit[ids].sum(axis=0) if ids else np.zeros(2)
+        return found
 
     def scores(self, blocks: list) -> np.ndarray:
-        """Emission scores (block, 2)."""
+        """Emission scores (block, 2): each place adds what it brings to the sum of the place around it."""
         out = np.zeros((len(blocks), 2))
-        if len(self.paths) > 50_000:
-            self.paths.clear()
+        sums: dict[Place | None, np.ndarray] = {None: np.zeros(2)}
         for k, (path, text, linked, _) in enumerate(blocks):
-            at = self.paths.get(path)
-            if at is None:
-                at = self.paths[path] = self._sum(path_features(path))
-            f = text_features(text, linked)
-            of = self.texts.get(f)
-            if of is None:
-                of = self.texts[f] = self._sum(f)
-            out[k] = at + of
+            chain, place = [], path[0] if path else None
+            while place not in sums:
+                chain.append(place)
+                place = place.around
+            for place in reversed(chain):
+                sums[place] = sums[place.around] + self._sum(place.fresh)
+            out[k] = sums[path[0]] + self._sum(path[0].own) if path else self._sum(NOWHERE)
+            out[k] += self._sum(text_features(text, linked))
         return out
 
     def decode(self, pages: list[list]) -> list[np.ndarray]:
@@ -245,8 +278,13 @@ class Field:
 
 
 def train(pages: list[list], l2: float = 0.02, rounds: int = 110, rate: float = 0.15) -> Field:
-    """Fits a field to labelled pages (lists of blocks whose label is '1' or '0') by gradient ascent on the likelihood."""
+    """Fits a field to labelled pages (lists of blocks whose label is '1' or '0') by gradient ascent on the likelihood.
+
+    Pages without a block teach nothing; of no others comes a field without features, which takes no block for the article.
+    """
     pages = [p for p in pages if p]
+    if not pages:
+        return Field({}, np.zeros((0, 2)), np.zeros((2, 2)), np.zeros(2))
     names = [[(*path_features(b[0]), *text_features(b[1], b[2])) for b in p] for p in pages]
     index = {f: k for k, f in enumerate(sorted({f for p in names for b in p for f in b}))}
     longest = max(map(len, pages))

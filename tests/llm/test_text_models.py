@@ -419,3 +419,41 @@ def test_deep_pages(spark):
     assert len(blocks) == 60_000 and max(len(b[0]) for b in blocks) <= 4
     row = html_crf.extract(spark.createDataFrame([(1, deep)], "page_id long, html string")).first()
     assert set(row.text) <= {"x", " "}
+
+
+def _class(k: int) -> str:
+    return "".join(chr(97 + k // 26**i % 26) for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("".join(f'<div class="{_class(k)}">x' for k in range(60_000)), 60_000),
+        ("<canvas>a<i>b</i>" * 60_000, 1),
+        ("<canvas>a<i>b</i>" * 60_000 + "</canvas>" * 60_000, 0),
+        ("<canvas>" * 60_000 + "</object>" * 60_000 + "x", 1),
+        ("<div><canvas><p>a" * 60_000 + "</div>" * 60_000, 60_000),
+    ],
+)
+def test_pages_cost_their_length(page, blocks):
+    import time
+
+    field = html_crf.default_field()
+    began = time.process_time()
+    found = html_crf.leaf_blocks(page)
+    assert len(found) == blocks and len(field.decode([found])[0]) == blocks
+    # A square of 60,000 would take minutes; the line takes 5 s on a quiet machine.
+    assert time.process_time() - began < 30
+
+
+def test_places_bring_what_is_new():
+    page = '<div class="a b"><section class="b c"><div class="a"><p>x</p></div></section><p>y</div><canvas>z<p>t</canvas>w'
+    got = {b[1]: html_crf.path_features(b[0]) for b in html_crf.leaf_blocks(page)}
+    assert got["x"] == ("in div", "name a", "name b", "in section", "name c", "in p", "tag p", "tags div/p", "named")
+    assert got["y"] == ("in div", "name a", "name b", "in p", "tag p", "tags div/p", "named")
+    assert got["w"] == ("in none", "tag none", "tags none", "unnamed") and set(got) == {"x", "y", "w"}
+
+
+def test_a_field_without_pages_takes_nothing():
+    field = html_crf.train([[], []])
+    assert [list(y) for y in field.decode([html_crf.leaf_blocks("<p>a</p><p>b"), []])] == [[0, 0], []]
