@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
 import html as _html
+import io
 import re
+import zlib
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,18 +24,89 @@ CRLF = "\r\n"
 NO_DATE = "1970-01-01T00:00:00Z"
 
 
+#: Bytes of blocks that a reader gives on together, and that it asks of an archive at a time.
+BATCH = 32 << 20
+CHUNK = 1 << 20
+
+
+def _some(stream: BinaryIO, n: int) -> bytes:
+    """The next n bytes, or as many as can be read."""
+    parts: list[bytes] = []
+    while n > 0:
+        try:
+            part = stream.read(min(n, CHUNK))
+        except (EOFError, OSError, zlib.error):
+            break
+        if not part:
+            break
+        parts.append(part)
+        n -= len(part)
+    return b"".join(parts)
+
+
+def _line(stream: BinaryIO) -> bytes:
+    try:
+        return stream.readline()
+    except (EOFError, OSError, zlib.error):
+        return b""
+
+
+def cut_records(archive: bytes) -> Iterator[tuple[bytes, bytes, bool]]:
+    """(head, block, complete) for each record of an archive, plain or gzip (member by member or whole).
+
+    A block has the length that its head states, whatever it holds. Not complete: a block that ends early, a head without a
+    length or without an end, and a block that is followed by anything but empty lines and the next record.
+    """
+    stream = gzip.GzipFile(fileobj=io.BytesIO(archive)) if archive[:2] == b"\x1f\x8b" else io.BytesIO(archive)
+    held: tuple[bytes, bytes, bool] | None = None
+    while line := _line(stream):
+        if not line.startswith(b"WARC/"):
+            if held and line.strip():
+                held = (*held[:2], False)
+            continue
+        if held:
+            yield held
+        head: list[bytes] = []
+        while (line := _line(stream)).strip():
+            head.append(line)
+        whole = b"".join(head)
+        length = LENGTH.search(whole)
+        block = _some(stream, int(length[1])) if length and line else b""
+        held = whole.rstrip(b"\r\n"), block, bool(length and line) and len(block) == int(length[1])
+    if held:
+        yield held
+
+
+LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", re.I | re.M)
+CUT = T.StructType([T.StructField("warc_headers", T.StringType()), T.StructField("rest", T.BinaryType()), T.StructField("complete", T.BooleanType())])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for archive in whole.column(0):
+            held, size = [], 0
+            for head, block, complete in cut_records(archive.as_py()):
+                held.append({"warc_headers": head.decode("utf-8", "replace"), "rest": block, "complete": complete})
+                size += len(block)
+                if size > BATCH or len(held) >= 10_000:
+                    yield pa.RecordBatch.from_pylist(held, ARROW_CUT)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pylist(held, ARROW_CUT)
+
+
+ARROW_CUT = pa.schema([("warc_headers", pa.string()), ("rest", pa.binary()), ("complete", pa.bool_())])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record_id, target_uri, warc_date, refers_to, content_type, content_length, payload_digest, block_digest,
     warc_headers, block, complete) for each record of the WARC files at path (plain, or gzip by record or whole).
 
-    Spark's text reader splits at the two line ends after a record and the version (1.0 or 1.1) of the next, so plain files are
-    read in parallel. A block that holds these itself comes out short: complete is false then, as for any block shorter than
-    its Content-Length. Empty files: no rows.
+    Records are cut by their Content-Length, never by their text, so a block may hold other records. A file is one task's work
+    and is held as it lies on disk (below 2 GB, Spark's bound of a value); what it unpacks to is given on in batches. complete is false for a
+    record that cut_records doesn't find whole; of a damaged gzip file what lies before the damage is read. Empty files: no rows.
     """
-    raw = spark.read.option("lineSep", CRLF + CRLF + "WARC/1.").text(path).where(F.length(F.trim("value")) > 0)
-    # Only the head is a text for sure: the block's bytes are cut out as they are.
-    head = F.regexp_replace(F.substring_index("value", CRLF + CRLF, 1), r"\A(WARC/1\.)?[0-9]\r\n", "")
-    raw = raw.select(head.alias("warc_headers"), F.expr("substring(cast(value AS BINARY), octet_length(substring_index(value, '\\r\\n\\r\\n', 1)) + 5)").alias("rest"))
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_cut, CUT)
 
     def field(name: str) -> Column:
         return F.nullif(F.regexp_extract("warc_headers", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
@@ -47,8 +124,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Payload-Digest").alias("payload_digest"),
         field("WARC-Block-Digest").alias("block_digest"),
         "warc_headers",
-        F.expr("substring(rest, 1, cast(coalesce(content_length, 0) AS INT))").alias("block"),
-        F.coalesce(F.octet_length("rest") >= F.col("content_length"), F.lit(False)).alias("complete"),
+        F.col("rest").alias("block"),
+        "complete",
     )
 
 
@@ -81,12 +158,104 @@ def responses(pages: DataFrame, warc_date: str = NO_DATE) -> DataFrame:
 OWN_HEADERS = r"(?i)^(WARC-(Type|Record-ID|Refers-To|Target-URI|Date|Payload-Digest|Block-Digest|Concurrent-To)|Content-(Type|Length)):"
 
 
-def fetched(records: DataFrame) -> DataFrame:
+#: Labels of character sets that browsers read as another one; fixed values.
+READ_AS = {"iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "l1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "shift_jis": "cp932", "shift-jis": "cp932", "ks_c_5601-1987": "cp949", "euc-kr": "cp949", "iso-8859-9": "cp1254", "utf8": "utf-8"}
+#: Marks at the beginning of a text and what they stand for; fixed values.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+CHARSET = r"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)"
+#: A page names its own set within this many bytes.
+SNIFFED = 1024
+IN_PAGE = rf"<meta\b[^>]*?{CHARSET}|<\?xml\b[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9_:.-]+)"
+SIZE = re.compile(rb"\s*([0-9a-fA-F]{1,15})\s*(?:;.*)?", re.S)
+
+
+def dechunked(body: bytes) -> bytes | None:
+    """A chunked body as one; a body without a first chunk as it is (its coding was undone before); null if a chunk is cut."""
+    out: list[bytes] = []
+    at = 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = SIZE.fullmatch(body[at:end]) if 0 <= end < at + 4096 else None
+        if not size:
+            return body if at == 0 else None
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        if end + 2 + n > len(body):
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + n + 4
+
+
+def inflated(body: bytes, coding: str) -> bytes | None:
+    """A gzip or deflate body (with or without its frame) unpacked; null if it is cut or damaged."""
+    if coding != "deflate" and body[:2] != b"\x1f\x8b":
+        return body
+    for frame in (47, -15) if coding == "deflate" else (47,):
+        out, rest = [], body
+        try:
+            while rest:
+                unpack = zlib.decompressobj(frame)
+                out.append(unpack.decompress(rest))
+                if not unpack.eof:
+                    break
+                # More members follow; other bytes after the last do not count.
+                rest = unpack.unused_data if unpack.unused_data[:2] == b"\x1f\x8b" else b""
+            else:
+                return b"".join(out)
+        except zlib.error:
+            continue
+    return None
+
+
+def body_text(head: str, body: bytes) -> str | None:
+    """The text of an HTTP response: codings undone, last first, then decoded by its mark, its header or its page's own word.
+
+    No set named, or an unknown one: UTF-8. Bytes that are none of the set's become U+FFFD. Null: a coding other than chunked,
+    gzip and deflate, or a body that is cut or damaged.
+    """
+    codings: list[str] = []
+    for name in ("content-encoding", "transfer-encoding"):
+        for value in re.findall(rf"(?im)^{name}:[ \t]*([^\r\n]*)", head):
+            codings += [c.strip().lower() for c in value.split(",")]
+    for coding in reversed(codings):
+        if coding == "chunked":
+            undone = dechunked(body)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            undone = inflated(body, coding) if body else body
+        elif coding in ("", "identity"):
+            undone = body
+        else:
+            return None
+        if undone is None:
+            return None
+        body = undone
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    own = re.search(rf"(?im)^content-type:[^\r\n]*?{CHARSET}", head)
+    page = None if own else re.search(IN_PAGE, body[:SNIFFED].decode("latin-1"), re.I)
+    label = (own[1] if own else (page[1] or page[2]) if page else "utf-8").lower()
+    if page and label.startswith("utf-16"):
+        label = "utf-8"
+    try:
+        return body.decode(READ_AS.get(label, label), "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def _body_text(heads: pd.Series, bodies: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else body_text(h or "", bytes(b)) for h, b in zip(heads, bodies, strict=True)], dtype=object)
+
+
+def fetched(records: DataFrame, unreadable: bool = False) -> DataFrame:
     """What derive takes, for the HTTP responses among records (as read_records gives them), with source_headers beside it.
 
-    The HTTP head is split off the block; its Content-Type is the response's, and its charset (UTF-8, or ISO-8859-1 where
-    named) decodes the payload. Transfer and content codings are not undone. A block without the end of a head is all payload.
-    source_headers holds the other WARC headers, each line as WARC-Source-...; keep it in derive to have it written.
+    The HTTP head is split off the block; its Content-Type is the response's. The payload is the body as body_text reads it; a body in plain
+    UTF-8 does without Python. A block without the end of a head is all payload. Responses that are not complete, and those whose
+    body can't be read, are no source of records: they are left out, or given with unreadable = True, a null payload and
+    readable = false. source_headers holds the other WARC headers, each line as WARC-Source-...; keep it in derive to have it written.
     """
     is_http = F.lower("target_uri").rlike("^<?https?:") | F.lower("content_type").startswith("application/http")
     end = "locate('\\r\\n\\r\\n', latin)"
@@ -94,17 +263,22 @@ def fetched(records: DataFrame) -> DataFrame:
     found = found.withColumn("at", F.when(F.col("latin").startswith("HTTP/"), F.expr(end)).otherwise(F.lit(0)))
     found = found.withColumn("head", F.expr("substring(latin, 1, greatest(at - 1, 0))")).withColumn("body", F.expr("CASE WHEN at > 0 THEN substring(block, at + 4) ELSE block END"))
     kind = F.trim(F.regexp_extract("head", r"(?im)^content-type:[ \t]*([^\r\n]*)", 1))
-    latin1 = F.lower(kind).rlike(r"charset\s*=\s*[\"']?(iso-8859-1|latin-?1)\b")
+    first = F.expr(f"decode(substring(body, 1, {SNIFFED}), 'ISO-8859-1')")
+    named = F.lower(F.regexp_extract(kind, f"(?i){CHARSET}", 1))
+    coded = F.col("head").rlike(r"(?im)^(transfer|content)-encoding:") | first.rlike("^(\u00ef\u00bb\u00bf|\u00ff\u00fe|\u00fe\u00ff)")
+    plain = ~coded & ((named == "utf-8") | (named == "") & ~first.rlike(f"(?i){IN_PAGE}"))
+    text = F.when(plain, F.expr("make_valid_utf8(cast(body AS STRING))")).otherwise(_body_text(F.when(~plain, F.col("head")), F.when(~plain, F.col("body"))))
     lines = F.filter(F.split("warc_headers", "\r?\n"), lambda x: x.contains(":") & ~x.rlike(OWN_HEADERS))
-    return found.select(
+    out = found.select(
         "record_id",
         "target_uri",
         "warc_date",
         kind.alias("content_type"),
         "payload_digest",
-        F.when(latin1, F.decode("body", "ISO-8859-1")).otherwise(F.col("body").cast("string")).alias("payload"),
+        F.when(F.col("complete"), text).alias("payload"),
         F.array_join(F.transform(lines, lambda x: F.concat(F.lit("WARC-Source-"), F.regexp_replace(x, "(?i)^WARC-", ""), F.lit(CRLF))), "").alias("source_headers"),
-    )
+    ).withColumn("readable", F.col("payload").isNotNull())
+    return out if unreadable else out.where("readable").drop("readable")
 
 
 #: The commonest references, which are decoded without Python; the ampersand comes last, so that nothing is decoded twice.

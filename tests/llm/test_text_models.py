@@ -457,3 +457,91 @@ def test_places_bring_what_is_new():
 def test_a_field_without_pages_takes_nothing():
     field = html_crf.train([[], []])
     assert [list(y) for y in field.decode([html_crf.leaf_blocks("<p>a</p><p>b"), []])] == [[0, 0], []]
+
+
+def _warc(k: int, block: bytes, length: int | None = None, more: bytes = b"") -> bytes:
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI: http://a/{k}\r\nContent-Type: application/http\r\nContent-Length: {len(block) if length is None else length}\r\n"
+    return head.encode() + more + b"\r\n" + block + b"\r\n\r\n"
+
+
+def _http(body: bytes, *head: str) -> bytes:
+    return "\r\n".join(("HTTP/1.1 200 OK", *head, "", "")).encode() + body
+
+
+def _chunks(body: bytes, n: int) -> bytes:
+    return b"".join(b"%x;q=1\r\n%s\r\n" % (len(body[k : k + n]), body[k : k + n]) for k in range(0, len(body), n)) + b"0\r\n\r\n"
+
+
+def test_archives_as_they_are_fetched(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    text = "<p>café ab</p>"
+    raw = z.compressobj(wbits=-15)
+    raw = raw.compress(text.encode()) + raw.flush()
+    quoted = _warc(99, _http(b"<p>inner</p>"))
+    bodies = {
+        0: (_http(_chunks(text.encode(), 3), "Transfer-Encoding: chunked"), "café ab"),
+        1: (_http(gzip.compress(text.encode()), "Content-Encoding: gzip"), "café ab"),
+        2: (_http(_chunks(gzip.compress(text.encode()), 7), "content-encoding: x-gzip", "transfer-encoding: chunked"), "café ab"),
+        3: (_http(z.compress(text.encode()), "Content-Encoding: deflate"), "café ab"),
+        4: (_http(raw, "Content-Encoding: deflate"), "café ab"),
+        5: (_http("<p>café “x”</p>".encode("cp1252"), "Content-Type: text/html; charset=windows-1252"), "café “x”"),
+        6: (_http("<meta charset=koi8-r><p>мир".encode("koi8-r"), "Content-Type: text/html"), "мир"),
+        7: (_http("﻿<p>мир".encode("utf-16-le"), "Content-Type: text/html; charset=utf-8"), "мир"),
+        8: (_http(b"<p>A block</p>\r\n\r\n" + quoted), "A block WARC/1.0 WARC-Type: response WARC-Record-ID: WARC-Target-URI: http://a/99 Content-Type: application/http Content-Length: 31 HTTP/1.1 200 OK inner"),
+        9: (_http(text.encode(), "Transfer-Encoding: chunked", "Content-Encoding: gzip"), "café ab"),
+        10: (_http("<p>мир".encode(), "Content-Type: text/html; charset=nosuch"), "мир"),
+        11: (_http(b"", "Content-Encoding: gzip"), ""),
+        12: (_http(b"a\xffb"), "a�b"),
+        13: (_http(gzip.compress(b"one ") + gzip.compress(b"two"), "Content-Encoding: gzip"), "one two"),
+        # Not to be read: an unknown coding, a cut chunk, a cut member.
+        20: (_http(b"\x0b\x02\x80ab\x03", "Content-Encoding: br"), None),
+        21: (_http(_chunks(text.encode(), 3)[:-9], "Transfer-Encoding: chunked"), None),
+        22: (_http(gzip.compress(text.encode())[:-12], "Content-Encoding: gzip"), None),
+    }
+    records = [_warc(k, block) for k, (block, _) in bodies.items()]
+    files = {"plain.warc": b"".join(records), "members.warc.gz": b"".join(map(gzip.compress, records)), "whole.warc.gz": gzip.compress(b"".join(records)), "empty.warc": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        read = warc.read_records(spark, str(tmp_path / name))
+        assert read.count() == (len(records) if data else 0) and read.where("complete").count() == read.count()
+        every = warc.fetched(read, unreadable=True)
+        made = warc.derive(warc.fetched(read)).where("record_type = 'conversion'")
+        got = {r.refers_to: r.block for r in made.collect()}
+        want = {f"<urn:{k}>": t for k, (_, t) in bodies.items() if t is not None} if data else {}
+        assert got == want
+        assert {r.record_id for r in every.where("NOT readable").collect()} == ({"<urn:20>", "<urn:21>", "<urn:22>"} if data else set())
+
+
+def test_incomplete_records_are_no_sources(spark, tmp_path):
+    import gzip
+
+    block = _http(b"<p>a</p>")
+    files = {
+        "long.warc": _warc(1, block) + _warc(2, block, len(block) + 500),
+        "short.warc": _warc(1, block, len(block) - 6) + _warc(3, block),
+        "none.warc": _warc(1, block).replace(b"Content-Length", b"X-Length") + _warc(3, block),
+        "head.warc": _warc(3, block) + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 0",
+        "cut.warc.gz": gzip.compress(_warc(3, block)) + gzip.compress(_warc(1, block * 50))[:-15],
+    }
+    want = {"long.warc": ["<urn:1>"], "short.warc": ["<urn:3>"], "none.warc": ["<urn:3>"], "head.warc": ["<urn:3>"], "cut.warc.gz": ["<urn:3>"]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        read = warc.read_records(spark, str(tmp_path / name))
+        assert read.count() == 2 and read.where("NOT complete").count() == 1, name
+        assert [r.record_id for r in warc.fetched(read).collect()] == want[name]
+
+
+def test_bodies_of_any_bytes():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        body = rng.randbytes(rng.randrange(0, 400))
+        n = rng.randrange(1, 90)
+        assert warc.dechunked(_chunks(body, n)) == body
+        assert warc.body_text("Transfer-Encoding: chunked\r\nContent-Type: a/b; charset=cp437", _chunks(body, n)) == body.decode("cp437") or body[:2] in (b"\xff\xfe", b"\xfe\xff")
+        warc.body_text(f"Content-Encoding: {rng.choice(['gzip', 'deflate', 'br', 'chunked'])}", body)
+        cut = list(warc.cut_records(_warc(1, body) + body + b"\r\n" + _warc(2, body)))
+        assert cut[0][1] == body and cut[-1][1] == body and cut[-1][2]
