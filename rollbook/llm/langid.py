@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,10 +113,24 @@ def _edges(texts: list[str], symbols: np.ndarray) -> np.ndarray:
     return np.array([(k, c, to) for k, at in enumerate(states) for c, to in at.items() if c != 1], np.int32).reshape(-1, 3)
 
 
+def packed_edges(edges: np.ndarray) -> bytes:
+    """Edges in order of their states, column by column as differences, compressed: most lead to the next state."""
+    state, symbol, to = edges.T.astype(np.int32)
+    return zlib.compress(np.concatenate([np.diff(state, prepend=np.int32(0)), symbol, to - state]).astype(np.int32).tobytes(), 6)
+
+
+def unpacked_edges(packed: bytes) -> np.ndarray:
+    """What packed_edges took."""
+    step, symbol, ahead = np.frombuffer(zlib.decompress(packed), np.int32).reshape(3, -1)
+    state = np.cumsum(step, dtype=np.int32)
+    return np.column_stack([state, symbol, state + ahead])
+
+
 def train(samples: list[tuple[str, str]], spark: SparkSession | None = None) -> dict:
-    """The model: languages, alphabet, and per language the edges (state, symbol, next) of its automaton.
+    """The model: languages, alphabet, and per language the edges (state, symbol, next) of its automaton, packed.
 
-    With a session each automaton is built in a task of its own, which needs some hundred bytes a character."""
+    With a session each automaton is built in a task of its own, which needs some hundred bytes a character; the driver passes
+    the packed edges on and never unpacks them."""
     letters = alphabet_of([t for _, t in samples])
     by_lang: dict[str, list[str]] = {}
     for lang, text in samples:
@@ -123,16 +138,16 @@ def train(samples: list[tuple[str, str]], spark: SparkSession | None = None) ->
     langs = sorted(by_lang)
     if spark is None or not langs:
         symbols = symbol_map(letters)
-        return {"langs": langs, "letters": letters, "edges": [_edges(by_lang[lang], symbols) for lang in langs]}
+        return {"langs": langs, "letters": letters, "edges": [packed_edges(_edges(by_lang[lang], symbols)) for lang in langs]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = symbol_map(letters)
         for b in batches:
             for k, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_edges(texts, symbols).tobytes()], pa.binary())], ["k", "edges"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed_edges(_edges(texts, symbols))], pa.binary())], ["k", "edges"])
 
     rows = spark.createDataFrame([(k, by_lang[lang]) for k, lang in enumerate(langs)], "k int, texts array<string>").repartition(len(langs), "k")
-    made = {r["k"]: np.frombuffer(r["edges"], np.int32).reshape(-1, 3) for r in rows.mapInArrow(run, "k int, edges binary").collect()}
+    made = {r["k"]: bytes(r["edges"]) for r in rows.mapInArrow(run, "k int, edges binary").collect()}
     return {"langs": langs, "letters": letters, "edges": [made[k] for k in range(len(langs))]}
 
 
@@ -142,13 +157,14 @@ class Parser:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.symbols = symbol_map(model["letters"])
-        sizes = [int(e[:, [0, 2]].max(initial=0)) + 1 for e in model["edges"]]
+        edges = [unpacked_edges(e) for e in model["edges"]]
+        sizes = [int(e[:, [0, 2]].max(initial=0)) + 1 for e in edges]
         self.every = len(model["letters"]) + 2
         self.width = min(len(model["letters"]), ALPHABET) + 2
         if sum(sizes) * self.width > DENSE_CELLS:
             self.width = 2
         self.tables, self.steps = [], []
-        for n, e in zip(sizes, model["edges"], strict=True):
+        for n, e in zip(sizes, edges, strict=True):
             rare = e[:, 1] >= self.width
             key = e[rare, 0].astype(np.int64) * self.every + e[rare, 1]
             order = np.argsort(key)

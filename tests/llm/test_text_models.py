@@ -164,7 +164,7 @@ def test_language_of_odd_rows(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
     assert langid.identify(docs.limit(0), model).count() == 0
     there = langid.train([("de", "guten tag allerseits"), ("fr", "bonjour tout le monde")], spark)
-    assert there["langs"] == model["langs"] and all((a == b).all() for a, b in zip(there["edges"], model["edges"], strict=True))
+    assert there["langs"] == model["langs"] and all((langid.unpacked_edges(a) == langid.unpacked_edges(b)).all() for a, b in zip(there["edges"], model["edges"], strict=True))
     empty = langid.train(langid.training_texts(docs.limit(0), F.lit(True)), spark)
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
@@ -545,3 +545,12 @@ def test_bodies_of_any_bytes():
         warc.body_text(f"Content-Encoding: {rng.choice(['gzip', 'deflate', 'br', 'chunked'])}", body)
         cut = list(warc.cut_records(_warc(1, body) + body + b"\r\n" + _warc(2, body)))
         assert cut[0][1] == body and cut[-1][1] == body and cut[-1][2]
+
+
+def test_packed_edges_come_back():
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 9, 20_000)), "naïve straße " * 50, ""]
+    edges = langid._edges(texts, langid.symbol_map(langid.alphabet_of(texts)))
+    packed = langid.packed_edges(edges)
+    assert (langid.unpacked_edges(packed) == edges).all() and len(packed) * 3 < edges.nbytes
+    assert langid.unpacked_edges(langid.packed_edges(edges[:0])).shape == (0, 3)
