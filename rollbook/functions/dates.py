@@ -44,8 +44,12 @@ def shift_years(d: Column, years: Column | int) -> Column:
 
 def age_years(value: Column, unit: Column) -> Column:
     """Age in years from a number and its unit (days, weeks, months, else years)."""
-    n = F.when(F.trim(value).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(value).cast("double"))
-    u = F.lower(F.trim(unit))
+    return in_years(F.when(F.trim(value).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.trim(value).cast("double")), unit)
+
+
+def in_years(n: Column, unit: Column) -> Column:
+    """Years from a number of days, weeks, months, else years; null below zero."""
+    n, u = F.when(n >= 0, n), F.lower(F.trim(unit))
     return F.when(u.startswith("d"), n / 365.25).when(u.startswith("w"), n * 7 / 365.25).when(u.startswith("m"), n / 12).otherwise(n)
 
 

@@ -117,8 +117,9 @@ SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN inside THEN p ELSE o_orde
 
 def ages(spark: SparkSession, d: str) -> DataFrame:
     """Balances read as ages, in units that begin like the market segment (machinery: months)."""
-    out = table(spark, d, "customer").select("c_custkey", dates.age_years(F.col("c_acctbal").cast("string"), F.col("c_mktsegment")).alias("years"))
-    return rounded(out.withColumn("band", dates.band(F.col("years"), 10)), 9, "years")
+    out = table(spark, d, "customer").select("c_custkey", dates.in_years(F.col("c_acctbal"), F.col("c_mktsegment")).alias("years"))
+    # Numbers stay numbers: as text one below 0.001 is written with an exponent, and a zero may have a sign, which rounding would drop.
+    return out.select("c_custkey", F.when(F.col("years") == 0, F.col("years")).otherwise(F.round("years", 9)).alias("years"), dates.band(F.col("years"), 10).alias("band"))
 
 
 AGES = """
