@@ -36,8 +36,8 @@ def absent_periods(df: DataFrame, date: str, grain: str = "month") -> DataFrame:
     return gone.groupBy("k").agg(F.min("period").alias("first"), F.max("period").alias("last"), F.count("*").alias("periods")).drop("k")
 
 
-def census(df: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(day, keys, present): how many half-open intervals [start, end) hold each day.
+def _present(df: DataFrame, start: str, end: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, first, last, present): spans of days along which the number of half-open intervals [start, end) stays the same and above 0.
 
     A sweep: +1 at the start, -1 at the end, summed by day first, then along the days. An interval costs two rows whatever its length.
     """
@@ -45,19 +45,36 @@ def census(df: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> Dat
     marks = ok.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("day"), F.lit(1).alias("step")), F.struct(F.col(end).alias("day"), F.lit(-1).alias("step")))).alias("m"))
     daily = marks.groupBy(*keys, F.col("m.day").alias("day")).agg(F.sum("m.step").alias("step"))
     w = W.partitionBy(*keys).orderBy("day")
-    level = daily.select(*keys, "day", F.sum("step").over(w).alias("present"), F.lead("day").over(w).alias("next"))
-    until = F.coalesce(F.date_sub("next", 1), F.col("day"))
-    return level.select(*keys, F.explode(F.sequence("day", until)).alias("day"), "present").where("present > 0")
+    level = daily.select(*keys, F.col("day").alias("first"), F.date_sub(F.lead("day").over(w), 1).alias("last"), F.sum("step").over(w).alias("present"))
+    return level.where("present > 0")
+
+
+def census(df: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(day, keys, present): how many half-open intervals [start, end) hold each day."""
+    return _present(df, start, end, keys).select(*keys, F.explode(F.sequence("first", "last")).alias("day"), "present")
 
 
 def valid_months(days: DataFrame, day: str, keys: Sequence[str] = (), gap: int = 10, burn_in: int = 21, floor: int = 20) -> DataFrame:
     """(keys, month, valid_days): days of runs (a gap of so many days ends one) without each run's first days, by month, with enough of them."""
-    d = days.select(*keys, F.col(day).alias("d")).distinct()
-    w = W.partitionBy(*keys).orderBy("d")  # one row per key and day
-    new = F.coalesce((F.datediff("d", F.lag("d").over(w)) >= gap).cast("int"), F.lit(1))
-    runs = d.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    kept = runs.withColumn("since", F.datediff("d", F.min("d").over(W.partitionBy(*keys, "run")))).where(F.col("since") >= burn_in)
-    return kept.groupBy(*keys, F.trunc("d", "month").alias("month")).agg(F.count("*").alias("valid_days")).where(F.col("valid_days") >= floor)
+    d = days.select(*keys, F.col(day).alias("first"), F.col(day).alias("last")).distinct()  # one row per key and day
+    return _valid_months(d, keys, gap, burn_in, floor)
+
+
+def census_valid_months(df: DataFrame, start: str, end: str, keys: Sequence[str] = (), gap: int = 10, burn_in: int = 21, floor: int = 20) -> DataFrame:
+    """valid_months of the days that some half-open interval [start, end) holds, from the ends of spans: no row per day is made."""
+    return _valid_months(_present(df, start, end, keys), keys, gap, burn_in, floor)
+
+
+def _valid_months(spans: DataFrame, keys: Sequence[str], gap: int, burn_in: int, floor: int) -> DataFrame:
+    """valid_months of spans (keys, first, last) of days that don't overlap: what a run keeps of a span is cut at the months' ends."""
+    w = W.partitionBy(*keys).orderBy("first")
+    new = F.coalesce(F.datediff("first", F.lag("last").over(w)) >= gap, F.lit(True))
+    runs = spans.select(*keys, "first", "last", F.when(new, F.col("first")).alias("opens"))
+    runs = runs.withColumn("valid", F.greatest("first", F.date_add(F.max("opens").over(w), burn_in))).where("valid <= last")
+    months = F.explode(F.sequence(F.trunc("valid", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))).alias("month")
+    cut = runs.select(*keys, "valid", "last", months)
+    n = F.datediff(F.least("last", F.last_day("month")), F.greatest("valid", "month")) + 1
+    return cut.groupBy(*keys, "month").agg(F.sum(n).cast("long").alias("valid_days")).where(F.col("valid_days") >= floor)
 
 
 def trailing_counts(df: DataFrame, date: str, key: str, trail: int = 30) -> DataFrame:

@@ -44,7 +44,7 @@ CENSUS_DAILY = _SWEEP + " SELECT day, present FROM c WHERE present > 0"
 def census_valid_months(spark: SparkSession, d: str) -> DataFrame:
     """By supplier and return flag."""
     keys = ["l_suppkey", "l_returnflag"]
-    return series.valid_months(series.census(stays(spark, d), "day", "shipped", keys), "day", keys)
+    return series.census_valid_months(stays(spark, d), "day", "shipped", keys)
 
 
 CENSUS_VALID_MONTHS = """
