@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 RADIUS_KM = 6371.0088
 #: Halvings of the widest cell, whose side is the greatest distance that counts.
 LEVELS = 7
+#: Spots of a cell that are held against a point at once.
+TILE = 256
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -47,28 +51,40 @@ def nearest_places(points: DataFrame, refs: DataFrame, point: str, ref: str, lab
     references, the k nearest are no further than a side four times as long, so the grid two levels wider has all of them. Each point asks the
     finest grid for which that is known: where references are dense, small cells are asked, where they are sparse the ring grows, up to most_km.
 
-    Which grid that is depends on the cell, so it is found once for each cell that has points. References on one spot go as one row with
+    Which grid that is depends on the cell, so it is found once for each cell that has points, with a distance within which k references are
+    known to lie. What the ring of an asking cell holds is gathered in tiles of some TILE spots of each cell; a point takes the k best of a tile on the
+    spot, so only these are written and sorted, not its pairs with all references around. References on one spot go as one with
     their k least ids: of more no point can need any. Points or references without a place are left out; a point that none is near has no row.
     """
     spot = refs.select(F.col(ref).alias("ref"), F.col(label).alias("label"), "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
     first = F.row_number().over(W.partitionBy("lat", "lon").orderBy("ref"))
     spots = spot.withColumn("first", first).where(F.col("first") <= k).groupBy("lat", "lon").agg(F.collect_list(F.struct("ref", "label")).alias("held"))
-    sides = _sides(most_km)
+    sides, cell, ring = _sides(most_km), ["level", "x", "y", "z"], ["level", "cx", "cy", "cz"]
     levels = lambda: F.inline(F.array(*(F.struct(F.lit(n).alias("level"), *(c.alias(a) for c, a in zip(_cells(s), "xyz", strict=True))) for n, s in enumerate(sides))))
     gridded = spots.select("*", levels())
-    counts = gridded.groupBy("level", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz")).agg(F.sum(F.size("held")).alias("n"))
+    counts = gridded.groupBy(*cell).agg(F.sum(F.size("held")).alias("n"), F.count("*").alias("spots"))
+    tile = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("spots") / TILE)).alias("tile")
+    tiles = gridded.join(counts, cell).groupBy(*(F.col(a).alias(b) for a, b in zip(cell, ring, strict=True)), tile).agg(F.collect_list(F.struct("lat", "lon", "held")).alias("spots"))
+    counts = counts.select(*(F.col(a).alias(b) for a, b in zip(cell, ring, strict=True)), "n")
     asking = points.select(F.col(point).alias("point"), "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
-    fine = [c.alias(a) for c, a in zip(_cells(sides[-1]), ("fx", "fy", "fz"), strict=True)]
-    homes = asking.select(*fine, levels()).distinct()
-    full = homes.select("fx", "fy", "fz", "level", _around()).join(counts, ["level", "cx", "cy", "cz"]).groupBy("fx", "fy", "fz", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k)
-    grid = full.groupBy("fx", "fy", "fz").agg(F.greatest(F.max("level") - 2, F.lit(0)).alias("level"))
-    placed = asking.select("*", *fine).join(grid, ["fx", "fy", "fz"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    own = F.element_at(F.array(*(F.struct(*(c.alias(a) for c, a in zip(_cells(s), "xyz", strict=True))) for s in sides)), F.col("level") + 1)
-    ring = placed.withColumn("own", own).select("point", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "level", "own.*").select("point", "plat", "plon", "level", _around())
-    near = ring.join(gridded.withColumnsRenamed({"x": "cx", "y": "cy", "z": "cz"}), ["level", "cx", "cy", "cz"])
-    near = near.withColumn("km", haversine_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).where(F.col("km") <= most_km)
-    near = near.select("point", "km", F.inline("held"))
-    ranked = near.withColumn("place", F.row_number().over(W.partitionBy("point").orderBy("km", "ref"))).where(F.col("place") <= k)
+    asking = asking.select("*", *(c.alias(a) for c, a in zip(_cells(sides[-1]), ("fx", "fy", "fz"), strict=True)))
+    # Sides are halves, so a cell of any grid comes from the finest by a shift.
+    up = lambda n: [F.shiftright(f, LEVELS - 1 - n).alias(a) for f, a in zip(("fx", "fy", "fz"), "xyz", strict=True)]
+    homes = asking.select("fx", "fy", "fz").distinct().select("*", F.inline(F.array(*(F.struct(F.lit(n).alias("level"), *up(n)) for n in range(LEVELS)))))
+    full = homes.select(*cell).distinct().select(*cell, _around()).join(counts, ring).groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") >= k)
+    grid = homes.join(full.select(*cell), cell).groupBy("fx", "fy", "fz").agg(F.max("level").alias("full"))
+    # Two cells that touch lie within two diagonals of each other, as the straight line goes.
+    sure = F.array(*(F.lit(min(most_km, 2 * RADIUS_KM * math.asin(min(1.0, math.sqrt(3) * s / RADIUS_KM)) * (1 + 1e-9))) for s in sides))
+    known = F.col("full").isNotNull()
+    placed = asking.join(grid, ["fx", "fy", "fz"], "left").withColumns({"level": F.when(known, F.greatest(F.col("full") - 2, F.lit(0))).otherwise(0), "sure": F.when(known, F.element_at(sure, F.col("full") + 1)).otherwise(most_km)})
+    own = F.element_at(F.array(*(F.struct(*up(n)) for n in range(LEVELS))), F.col("level") + 1)
+    placed = placed.withColumn("own", own).select("point", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "sure", "level", "own.*")
+    around = placed.select(*cell).distinct().select(*cell, _around()).join(tiles, ring).groupBy(*cell, "tile").agg(F.flatten(F.collect_list("spots")).alias("spots"))
+    far = F.transform("spots", lambda s: F.struct(haversine_km(F.col("plat"), F.col("plon"), s["lat"], s["lon"]).alias("km"), s["held"].alias("held")))
+    near = F.filter(far, lambda s: s["km"] <= F.col("sure"))
+    each = F.flatten(F.transform(near, lambda s: F.transform(s["held"], lambda h: F.struct(s["km"].alias("km"), h["ref"].alias("ref"), h["label"].alias("label")))))
+    best = placed.join(around, cell).select("point", F.inline(F.slice(F.sort_array(each), 1, k)))
+    ranked = best.withColumn("place", F.row_number().over(W.partitionBy("point").orderBy("km", "ref"))).where(F.col("place") <= k)
     return ranked.select(F.col("point").alias(point), F.col("ref").alias(ref), F.col("label").alias(label), "km", "place")
 
 
