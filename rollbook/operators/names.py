@@ -168,22 +168,18 @@ def finest(readings: DataFrame, parents: DataFrame, id_: str, node: str = "node"
 
     finest: the reading that lies in all others, if they lie in each other like a village in its district; else null, as the cell may mean either.
     common: the finest place that holds all readings, null if none does. A reading that the hierarchy doesn't know makes both null.
+
+    Each reading takes its path from the top, and the readings are grouped once, by their cell: a row for a reading, none for each place above it.
     """
-    asked = readings.select(F.col(id_).alias("id"), F.col(node).alias("node")).where("node IS NOT NULL").distinct()
     up = closure(parents, node, parent)
-    deep = up.groupBy(F.col("node").alias("place")).agg(F.max("steps").alias("depth"))
-    up = checkpointed(up.withColumnRenamed("ancestor", "place").drop("steps").join(deep, "place"))
-    # holds: how many of the cell's readings lie in a place; read: whether it is one of them.
-    held = asked.join(up, "node", "left").groupBy("id", "place", "depth").agg(F.count("*").alias("holds"), F.max((F.col("node") == F.col("place")).cast("int")).alias("read"))
-    known = F.col("place").isNotNull()
-    per = held.groupBy("id").agg(
-        F.sum(F.when(known, F.col("read")).otherwise(F.col("holds"))).alias("n"),
-        F.count_if(~known).alias("unknown"),
-        F.max(F.when(known, F.struct("holds", "depth", "place"))).alias("top"),
-        F.max(F.when(F.col("read") == 1, F.struct("depth", "place"))).alias("deepest"),
-        F.sum(F.when(F.col("read") == 1, F.col("holds"))).alias("nested"),
-    )
-    # Of n readings each holds itself; that each two of them lie in each other adds n (n - 1) / 2, and only if all do.
-    chain = (F.col("unknown") == 0) & (F.col("nested") * 2 == F.col("n") * (F.col("n") + 1))
-    common = F.when((F.col("unknown") == 0) & (F.col("top.holds") == F.col("n")), F.col("top.place"))
-    return per.select(F.col("id").alias(id_), F.col("n").alias("readings"), F.when(chain, F.col("deepest.place")).alias("finest"), common.alias("common"))
+    paths = up.groupBy("node").agg(F.collect_set(F.struct((-F.col("steps")).alias("up"), "ancestor")).alias("path"))
+    paths = checkpointed(paths.select("node", F.array_sort("path")["ancestor"].alias("path")))
+    asked = readings.select(F.col(id_).alias("id"), F.col(node).alias("node")).where("node IS NOT NULL").join(paths, "node", "left")
+    per = asked.groupBy("id").agg(F.collect_set(F.coalesce("path", F.array("node"))).alias("paths"), F.max(F.col("path").isNull()).alias("unknown"))
+    # In the order of paths what begins alike stands together: what the first and the last share, all share, and the last is the deepest of a chain.
+    last = F.array_max("paths")
+    shared = F.array_intersect(F.array_min("paths"), last)
+    chain = F.forall("paths", lambda p: F.get(last, F.size(p) - 1) == F.get(p, F.size(p) - 1))
+    known = lambda c: F.when(~F.col("unknown"), c)
+    finest_, common = F.when(chain, F.get(last, F.size(last) - 1)), F.get(shared, F.size(shared) - 1)
+    return per.select(F.col("id").alias(id_), F.size("paths").cast("long").alias("readings"), known(finest_).alias("finest"), known(common).alias("common"))
