@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpointed
@@ -44,37 +43,37 @@ def _grams(rows: DataFrame) -> DataFrame:
     """(id, district, key, gram): the grams of a key with an edge mark on either side, those that repeat with their number."""
     marked = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(marked) - GRAM + 1), lambda k: F.substring(marked, k, F.lit(GRAM)))
-    each = rows.select("id", "district", "key", F.posexplode(grams).alias("at", "gram"))
-    again = F.row_number().over(W.partitionBy("id", "district", "key", "gram").orderBy("at"))
-    return each.select("id", "district", "key", F.concat("gram", again.cast("string")).alias("gram"))
+    numbered = F.transform("grams", lambda g, k: F.concat(g, F.size(F.filter(F.slice("grams", 1, k + 1), lambda x: x == g)).cast("string")))
+    return rows.select("id", "district", "key", grams.alias("grams")).select("id", "district", "key", F.explode(numbered).alias("gram"))
 
 
 def _prefix(grams: DataFrame, seen: DataFrame, least: float) -> DataFrame:
-    """The rarest grams of each key, so many that keys as alike as least share one of them.
+    """(id, district, key, first): the rarest grams of each key, the rarest first, so many that keys as alike as least share one of them.
 
     k edits change GRAM * k grams at most. A key of n letters has partners of n / least letters at most, so the edits between
     them are at most n (1 - least) / least, rounded down; all but GRAM times so many grams are shared, and one among the first ones, in any order
     that both sides follow.
     """
     edits = F.floor(F.length("key") * ((1 - least) / least) + 1e-9)
-    ranked = grams.join(seen, ["district", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    place = F.row_number().over(W.partitionBy("id", "district", "key").orderBy("n", "gram"))
-    return ranked.withColumn("place", place).where(F.col("place") <= GRAM * edits + 1).select("id", "district", "key", "gram")
+    ranked = grams.join(seen, ["district", "gram"], "left").select("id", "district", "key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("gram"))
+    first = ranked.groupBy("id", "district", "key").agg(F.array_sort(F.collect_set("gram"))["gram"].alias("first"))
+    return first.withColumn("first", F.slice("first", 1, (GRAM * edits + 1).cast("int")))
 
 
 def similar_pairs(cases: DataFrame, places: DataFrame, least: float, length: int = 1) -> DataFrame:
     """(id, place, district, key, other): pairs of one district whose keys are alike by least or more and have so many letters.
 
     cases and places: (id, district, key). A similarity join by prefixes: pairs are made only between keys that share one of their
-    rarest grams and whose lengths allow it; every pair as alike as least is among them.
+    rarest grams and whose lengths allow it; every pair as alike as least is among them. Both sides follow one order of grams, and a pair
+    is taken at the first gram that it shares: it comes once, and nothing keeps the pairs.
     """
     grams_c, grams_p = _grams(cases.where(F.length("key") >= length)), _grams(places.where(F.length("key") >= length))
     seen = grams_p.groupBy("district", "gram").agg(F.count("*").alias("n"))
-    a = _prefix(grams_c, seen, least)
-    b = _prefix(grams_p, seen, least).withColumnsRenamed({"id": "place", "key": "other"})
+    a = _prefix(grams_c, seen, least).withColumn("gram", F.explode("first"))
+    b = _prefix(grams_p, seen, least).withColumnsRenamed({"id": "place", "key": "other", "first": "theirs"}).withColumn("gram", F.explode("theirs"))
     near = a.join(b, ["district", "gram"]).where((F.length("key") + 1e-9 >= least * F.length("other")) & (F.length("other") + 1e-9 >= least * F.length("key")))
-    near = near.select("id", "place", "district", "key", "other").distinct()
-    return near.where(alike(F.col("key"), F.col("other")) >= least)
+    near = near.where(alike(F.col("key"), F.col("other")) >= least).where(F.get(F.array_intersect("first", "theirs"), F.lit(0)) == F.col("gram"))
+    return near.select("id", "place", "district", "key", "other")
 
 
 def link_in_district(cases: DataFrame, places: DataFrame, id_: str, place: str, district: str, name: str, tiers: Sequence[Tier] = TIERS) -> DataFrame:
