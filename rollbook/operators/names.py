@@ -99,10 +99,9 @@ def link_in_district(cases: DataFrame, places: DataFrame, id_: str, place: str,
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionAll(x)
-    per = hits.groupBy("id").agg(
-        *(F.count_distinct(F.when(F.col("tier") == t.name, F.col("place"))).alias(f"n_{t.name}") for t in tiers),
-        *(F.min(F.when(F.col("tier") == t.name, F.col("place"))).alias(f"p_{t.name}") for t in tiers),
-    )
+    # A place that a case meets more than once counts once in a tier: one row for both, then plain sums.
+    met = hits.groupBy("id", "place").agg(*(F.max((F.col("tier") == t.name).cast("int")).alias(t.name) for t in tiers))
+    per = met.groupBy("id").agg(*(F.sum(t.name).alias(f"n_{t.name}") for t in tiers), *(F.min(F.when(F.col(t.name) == 1, F.col("place"))).alias(f"p_{t.name}") for t in tiers))
     first = lambda value: F.coalesce(*(F.when(F.col(f"n_{t.name}") == 1, value(t)) for t in tiers))
     seen = F.coalesce(*(F.when(F.col(f"n_{t.name}") > 0, F.col(f"n_{t.name}")) for t in reversed(tiers)), F.lit(0))
     per = per.select(F.col("id").alias(id_), first(lambda t: F.col(f"p_{t.name}")).alias(place), first(lambda t: F.lit(t.name)).alias("tier"), seen.alias("candidates"))
