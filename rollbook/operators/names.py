@@ -39,12 +39,16 @@ def _keyed(df: DataFrame, id_: str, district: str, name: str) -> DataFrame:
     return checkpointed(rows.where((F.col("key") != "") & F.col("district").isNotNull()).drop("name"))  # each tier reads it
 
 
-def _grams(rows: DataFrame) -> DataFrame:
-    """(id, district, key, gram): the grams of a key with an edge mark on either side, those that repeat with their number."""
+def _grams(rows: DataFrame, least: float) -> DataFrame:
+    """(id, district, key, gram): the grams of a key with an edge mark on either side, those that repeat with their number.
+
+    Keys that are alike by less than a half may share no gram; where least is so low, all keys have the empty gram too.
+    """
     marked = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length(marked) - GRAM + 1), lambda k: F.substring(marked, k, F.lit(GRAM)))
     numbered = F.transform("grams", lambda g, k: F.concat(g, F.size(F.filter(F.slice("grams", 1, k + 1), lambda x: x == g)).cast("string")))
-    return rows.select("id", "district", "key", grams.alias("grams")).select("id", "district", "key", F.explode(numbered).alias("gram"))
+    every = F.concat(numbered, F.array(F.lit(""))) if least < 1 - 1 / GRAM else numbered
+    return rows.select("id", "district", "key", grams.alias("grams")).select("id", "district", "key", F.explode(every).alias("gram"))
 
 
 def _prefix(grams: DataFrame, seen: DataFrame, least: float) -> DataFrame:
@@ -52,9 +56,10 @@ def _prefix(grams: DataFrame, seen: DataFrame, least: float) -> DataFrame:
 
     k edits change GRAM * k grams at most. A key of n letters has partners of n / least letters at most, so the edits between
     them are at most n (1 - least) / least, rounded down; all but GRAM times so many grams are shared, and one among the first ones, in any order
-    that both sides follow.
+    that both sides follow. With the empty gram each pair shares one, and the same number of first ones holds it: all of them where
+    the edits may change all others.
     """
-    edits = F.floor(F.length("key") * ((1 - least) / least) + 1e-9)
+    edits = F.least(F.floor(F.length("key") * ((1 - least) / max(least, 1e-6)) + 1e-9), F.length("key") + 1)
     ranked = grams.join(seen, ["district", "gram"], "left").select("id", "district", "key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("gram"))
     first = ranked.groupBy("id", "district", "key").agg(F.array_sort(F.collect_set("gram"))["gram"].alias("first"))
     return first.withColumn("first", F.slice("first", 1, (GRAM * edits + 1).cast("int")))
@@ -67,7 +72,7 @@ def similar_pairs(cases: DataFrame, places: DataFrame, least: float, length: int
     rarest grams and whose lengths allow it; every pair as alike as least is among them. Both sides follow one order of grams, and a pair
     is taken at the first gram that it shares: it comes once, and nothing keeps the pairs.
     """
-    grams_c, grams_p = _grams(cases.where(F.length("key") >= length)), _grams(places.where(F.length("key") >= length))
+    grams_c, grams_p = _grams(cases.where(F.length("key") >= length), least), _grams(places.where(F.length("key") >= length), least)
     seen = grams_p.groupBy("district", "gram").agg(F.count("*").alias("n"))
     a = _prefix(grams_c, seen, least).withColumn("gram", F.explode("first"))
     b = _prefix(grams_p, seen, least).withColumnsRenamed({"id": "place", "key": "other", "first": "theirs"}).withColumn("gram", F.explode("theirs"))
