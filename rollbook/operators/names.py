@@ -52,7 +52,9 @@ def _grams(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _prefix(grams: DataFrame, seen: DataFrame, least: float) -> DataFrame:
-    """(id, district, key, first): the rarest grams of each key, the rarest first, so many that keys as alike as least share one of them.
+    """(id, district, key, first, mask): the rarest grams of each key, the rarest first, so many that keys as alike as least share one of them.
+
+    mask has a bit for each gram of the key, of 64 by its hash.
 
     k edits change GRAM * k grams at most. A key of n letters has partners of n / least letters at most, so the edits between
     them are at most n (1 - least) / least, rounded down; all but GRAM times so many grams are shared, and one among the first ones, in any order
@@ -61,7 +63,8 @@ def _prefix(grams: DataFrame, seen: DataFrame, least: float) -> DataFrame:
     """
     edits = F.least(F.floor(F.length("key") * ((1 - least) / max(least, 1e-6)) + 1e-9), F.length("key") + 1)
     ranked = grams.join(seen, ["district", "gram"], "left").select("id", "district", "key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("gram"))
-    first = ranked.groupBy("id", "district", "key").agg(F.array_sort(F.collect_set("gram"))["gram"].alias("first"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("gram.gram"), F.lit(64)).cast("int"))
+    first = ranked.groupBy("id", "district", "key").agg(F.array_sort(F.collect_set("gram"))["gram"].alias("first"), F.bit_or(bit).alias("mask"))
     return first.withColumn("first", F.slice("first", 1, (GRAM * edits + 1).cast("int")))
 
 
@@ -70,14 +73,20 @@ def similar_pairs(cases: DataFrame, places: DataFrame, least: float, length: int
 
     cases and places: (id, district, key). A similarity join by prefixes: pairs are made only between keys that share one of their
     rarest grams and whose lengths allow it; every pair as alike as least is among them. Both sides follow one order of grams, and a pair
-    is taken at the first gram that it shares: it comes once, and nothing keeps the pairs.
+    is taken at the first gram that it shares: it comes once, and nothing keeps the pairs. Of the pairs that share a gram most have too many
+    others apart, which their masks tell. Neither side is broadcast: how many grams a small file holds can't be told beforehand.
     """
     grams_c, grams_p = _grams(cases.where(F.length("key") >= length), least), _grams(places.where(F.length("key") >= length), least)
     seen = grams_p.groupBy("district", "gram").agg(F.count("*").alias("n"))
     a = _prefix(grams_c, seen, least).withColumn("gram", F.explode("first"))
-    b = _prefix(grams_p, seen, least).withColumnsRenamed({"id": "place", "key": "other", "first": "theirs"}).withColumn("gram", F.explode("theirs"))
-    near = a.join(b, ["district", "gram"]).where((F.length("key") + 1e-9 >= least * F.length("other")) & (F.length("other") + 1e-9 >= least * F.length("key")))
-    near = near.where(alike(F.col("key"), F.col("other")) >= least).where(F.get(F.array_intersect("first", "theirs"), F.lit(0)) == F.col("gram"))
+    b = _prefix(grams_p, seen, least).withColumnsRenamed({"id": "place", "key": "other", "mask": "marks", "first": "theirs"}).withColumn("gram", F.explode("theirs"))
+    # The cheap conditions come first: an edit takes GRAM grams of a key at most, so its edits bound the grams that the other lacks.
+    changed = GRAM * F.floor(F.greatest(F.length("key"), F.length("other")) * (1 - least) + 1e-9)
+    lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y))) <= changed
+    fit = (F.length("key") + 1e-9 >= least * F.length("other")) & (F.length("other") + 1e-9 >= least * F.length("key"))
+    near = a.join(b.hint("merge"), ["district", "gram"]).where(
+        fit & lacks("mask", "marks") & lacks("marks", "mask") & (alike(F.col("key"), F.col("other")) >= least) & (F.get(F.array_intersect("first", "theirs"), F.lit(0)) == F.col("gram"))
+    )
     return near.select("id", "place", "district", "key", "other")
 
 
