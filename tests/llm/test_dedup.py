@@ -180,6 +180,38 @@ def test_recall_of_edited_images(edit):
     assert found >= 27
 
 
+def test_all_corners_are_described():
+    """Each peak of the response, however large the picture; a half of the picture has the corners that lie in it."""
+    for side in (96, 400):
+        a = textured(1, side)
+        got = media.corners(a)
+        first = got[got["scale"] == 1]
+        b = media._blurred(a, 1)
+        gy, gx = np.gradient(b)
+        xx, yy, xy = media._blurred(gx * gx, 2), media._blurred(gy * gy, 2), media._blurred(gx * gy, 2)
+        r, k = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2, media.RADIUS
+        peaks = {(x, y) for y in range(k, side - k) for x in range(k, side - k) if r[y, x] > 1e-3 and r[y, x] >= r[y - 2 : y + 3, x - 2 : x + 3].max()}
+        assert {(int(x), int(y)) for x, y in zip(first["x"], first["y"], strict=True)} == peaks and len(first) == len(peaks) > 13
+    half = media.corners(a[:, : side // 2])
+    deep = lambda p: {(int(x), int(y)) for x, y in zip(p["x"], p["y"], strict=True) if x < side // 2 - 2 * media.RADIUS}
+    assert deep(half[half["scale"] == 1]) == deep(first)
+
+
+def test_cut_pictures_are_found(monkeypatch):
+    pictures = [textured(seed) for seed in range(30)]
+    for share in (0.7, 0.5):
+        pairs = [(media.corners(a), media.corners(cut(a, share))) for a in pictures]
+        assert sum(media.consensus(p, q) >= media.CONSENSUS and len(np.intersect1d(media.table_keys(p), media.table_keys(q))) > 0 for p, q in pairs) >= 27
+    # Pairs in batches and one by one, in one go and in parts, say the same; unrelated pictures are not linked.
+    pairs += [(media.corners(a), media.corners(b)) for a, b in zip(pictures, pictures[1:], strict=False)] + [(pairs[0][0], np.empty(0, media.POINT))]
+    alone = [media.consensus(p, q) >= media.CONSENSUS for p, q in pairs]
+    assert media.agreed([p.tobytes() for p, _ in pairs], [q.tobytes() for _, q in pairs]).tolist() == alone and not any(alone[30:])
+    keys = [media.table_keys(p) for p, _ in pairs]
+    monkeypatch.setattr(media, "DISTANCES", 300)
+    assert [media.consensus(p, q) >= media.CONSENSUS for p, q in pairs] == alone
+    assert all((media.table_keys(p) == k).all() for (p, _), k in zip(pairs, keys, strict=True))
+
+
 def test_images_against_brute_force(spark):
     pictures = [textured(k, 72) for k in range(10)]
     pictures += [EDITS["blurred"](pictures[0]), EDITS["darker"](pictures[0]), cut(pictures[1], 0.8), EDITS["scaled to 0.8"](pictures[2]), *(EDITS["noise of 8"](pictures[3]) for _ in range(3))]
