@@ -221,3 +221,32 @@ def test_images_against_brute_force(spark):
     points = [media.corners(p) for p in pictures]
     links = [(a, b) for a, b in itertools.combinations(range(len(points)), 2) if max(media.consensus(points[a], points[b]), media.consensus(points[b], points[a])) >= media.CONSENSUS]
     assert got == components(range(len(points)), links) and len(links) >= 8
+
+
+def test_vectors_that_meet_by_chance_are_not_kept(spark, monkeypatch):
+    """Unrelated vectors and a few copies: what is written down has a row for each vector, or for each pair that is nearly linked."""
+    kept = []
+
+    def counted(df, of=lattice_hash.checkpointed):
+        out = of(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(lattice_hash, "checkpointed", counted)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 32))
+    x[500:] = x[:100] + rng.normal(size=(100, 32)) * 0.05
+    got = lattice_hash.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {k: (int(k < 100 or k >= 500), k - 500 if k >= 500 else k) for k in range(600)}
+    assert max(kept) <= 600
+
+
+def test_planes_part_no_linked_vectors():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    apart = lambda c: np.bitwise_count((lattice_hash.sides(a) ^ lattice_hash.sides(c * a + np.sqrt(1 - c * c) * b)).view(np.uint64)).sum(axis=1)
+    limit = lattice_hash.most_apart(float(np.arccos(0.9)))
+    assert apart(0.9).max() <= limit and (apart(0.0) > limit).mean() > 0.98
